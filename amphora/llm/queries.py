@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amphora.session import load
+from amphora.session import load, materialize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,12 +49,19 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(heads, "group").select("group_name", "group_type", "value", F.round("p_true", 6).alias("p_true"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.name_variants import link_spellings, spelling_pairs
+
+    return spelling_pairs(materialize(link_spellings(load(spark, d, "extractions")), "linked"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_values": p6_values,
+    "p7_found": p7_found,
 }
 
 _COMPONENTS = r"""
@@ -84,10 +91,10 @@ WITH n AS (SELECT DISTINCT type, name, array_to_string(list_sort(regexp_extract_
            FROM extractions WHERE regexp_matches(name, '[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))
 SELECT type, name, kept FROM (SELECT type, name, min(name) OVER (PARTITION BY type, k) AS kept, count(*) OVER (PARTITION BY type, k) AS c FROM n) WHERE c > 1""".replace("name, kept FROM", "name, kept AS kept_name FROM"),
     "p3_found": f"WITH RECURSIVE {_COMPONENTS}\nSELECT name, type, group_name, group_type FROM grp",
-    "p6_found": f"""WITH RECURSIVE {_COMPONENTS},
+    "p6_found": rf"""WITH RECURSIVE {_COMPONENTS},
 big AS (SELECT root FROM grp GROUP BY root HAVING count(*) > 1),
 c AS (SELECT g.root, trim(canonical) AS canonical, row_number() OVER (PARTITION BY g.root ORDER BY decided_at DESC NULLS LAST, decision_id DESC) AS k
-      FROM two JOIN grp g ON an IS NOT DISTINCT FROM g.name AND aty IS NOT DISTINCT FROM g.type WHERE same AND trim(canonical) <> ''),
+      FROM two JOIN grp g ON an IS NOT DISTINCT FROM g.name AND aty IS NOT DISTINCT FROM g.type WHERE same AND regexp_matches(canonical, '[^\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]')),
 m AS (SELECT g.root, mention_id, row_number() OVER (PARTITION BY g.root ORDER BY coalesce(length(description), 0) DESC, extracted_at DESC NULLS LAST, mention_id) AS k
       FROM extractions e JOIN grp g ON e.name = g.name AND e.type = g.type)
 SELECT g.group_name, g.group_type, c.canonical, m.mention_id FROM big JOIN grp g ON g.id = big.root

@@ -19,14 +19,12 @@ from pyspark.sql import functions as F
 from amphora.llm.components import decision_nodes
 from amphora.session import blank, materialize
 
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
 
 def survivors(grouped: DataFrame, resolutions: DataFrame, extractions: DataFrame) -> DataFrame:
     """(group, canonical, mention_id) for groups of at least two nodes; either may be null.
 
     canonical: of the rows with ``same = true`` and a non-blank canonical the newest (then highest decision_id; a null
-    date is oldest), stripped. mention_id: of the mentions bearing exactly a node's name and type the one with the
+    date is oldest), without the spaces (U+0020) at both ends. mention_id: of the mentions bearing exactly a node's name and type the one with the
     longest description (null counts as 0), then the newest (null oldest), then the smallest id.
     """
     members = grouped.where("id <> group").select("group").distinct().join(grouped, "group").select("group", "name", "type")
@@ -36,7 +34,7 @@ def survivors(grouped: DataFrame, resolutions: DataFrame, extractions: DataFrame
     best = named.groupBy("an", "at").agg(F.max(order).alias("o"))
     canonical = (
         members.join(best, F.col("name").eqNullSafe(F.col("an")) & F.col("type").eqNullSafe(F.col("at")))
-        .groupBy("group").agg(F.max("o").alias("o")).select("group", F.regexp_replace("o.canonical", _STRIP, "").alias("canonical"))
+        .groupBy("group").agg(F.max("o").alias("o")).select("group", F.trim("o.canonical").alias("canonical"))
     )
     order = F.struct(F.coalesce(F.length("description"), F.lit(0)), F.coalesce(F.col("extracted_at"), F.lit("0001-01-01").cast("timestamp")), -F.col("mention_id"))
     best = extractions.groupBy(F.col("name").alias("en"), F.col("type").alias("et")).agg(F.max(order).alias("o"))
