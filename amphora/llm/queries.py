@@ -55,6 +55,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return spelling_pairs(materialize(link_spellings(load(spark, d, "extractions")), "linked"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.leaks import leaked_items
+
+    return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_values": p6_values,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 _COMPONENTS = r"""
