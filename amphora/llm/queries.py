@@ -61,6 +61,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.personal_info import personal_spans
+
+    return personal_spans(load(spark, d, "documents")).select("doc_id", "kind", "value").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.personal_info import personal_spans, redact
+
+    documents = load(spark, d, "documents")
+    return redact(documents, materialize(personal_spans(documents), "personal"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -69,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_values": p6_values,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 _COMPONENTS = r"""
