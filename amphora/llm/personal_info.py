@@ -35,33 +35,32 @@ _EMAIL = re.compile(
 )
 _S = r"[ \u00a0]"
 _PHONE = re.compile(rf"(?<![\w.,+(-])(?:\+\d{{1,3}}[ \u00a0.-]?)?(?:\(\d{{1,5}}\)[ \u00a0.-]?)?\d{{2,11}}(?:[ \u00a0.-]\d{{2,5}}){{0,5}}(?:,?{_S}(?:ext\.?|x){_S}?\d{{1,5}})?(?![\w-])")
-_ID = re.compile(rf"(?<![\w+(.-])(?:[A-Z]{{1,3}}[ \u00a0-]?)?\d(?:[ \u00a0-]?\d){{5,13}}(?:[ \u00a0-]?[A-Z])?(?![\w-])")
+_ID = re.compile(r"(?<![\w+(.-])(?<!\+\d[ \u00a0])(?<!\+\d\d[ \u00a0])(?<!\+\d\d\d[ \u00a0])(?:[A-Z]{1,3}[ \u00a0-]?\d(?:[ \u00a0-]?\d){5,13}(?:[ \u00a0-]?[A-Z])?|\d(?:[ \u00a0-]?\d){5,13}-?[A-Z]?)(?![\w-])")
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’]*[^\W\d_](?:-[^\W\d_]+)?"
-_TOWN = rf"{_CAP}(?:{_S}{_CAP})?"
 _POST = r"(?:[A-Z]{2}[ \u00a0]\d{4,6}|[A-Z]{1,2}\d[A-Z\d]?[ \u00a0]\d[A-Z]{2}|\d{4,6})"
-_KIND_OF_WAY = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Drive|Close|Court|Square|Terrace|Way|Row|Place)"
+_TOWN = rf"{_CAP}(?:{_S}(?!{_POST}){_CAP})?(?!\w)"
+_KIND_OF_WAY = r"(?i:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Drive|Close|Court|Square|Terrace|Way|Row|Place)"
 _ADDRESS = re.compile(
     rf"(?<!\w)(?:(?:Flat|Apt\.?|Unit){_S}\d+\w?,{_S})?(?:"
-    rf"\d{{1,4}}[a-z]?,?{_S}(?:[NSEW]\.{_S})?{_CAP}(?:{_S}{_CAP})?{_S}{_KIND_OF_WAY}(?:,?{_S}(?:Apt\.?|Flat|Unit){_S}\d+)?,?\s{{1,2}}(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST})?"
-    rf"|\d{{1,4}}[a-z]?,?{_S}(?:rue|via|calle|place){_S}(?:d\w*{_S})?{_CAP},?\s(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST})?"
-    rf"|{_CAP[:-1]}?(?:gasse|stra(?:ß|ss)e|weg|platz){_S}\d{{1,4}}[a-z]?,?\s(?:{_POST}{_S})?{_TOWN}"
-    rf"|\d{{1,4}}[a-z]?,?{_S}{_CAP}{_S}{_KIND_OF_WAY}(?![\w])"
-    rf")",
-    re.IGNORECASE,
+    rf"\d{{1,4}}[a-z]?{_S}(?:[NSEW]\.{_S})?{_CAP}(?:{_S}{_CAP})?{_S}{_KIND_OF_WAY}(?:,?{_S}(?:Apt\.?|Flat|Unit){_S}\d+)?,?\s{{1,2}}(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST})?"
+    rf"|\d{{1,4}}[a-z]?,?{_S}(?i:rue|via|calle|place){_S}(?:d\w*{_S})?{_CAP},?\s(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST})?"
+    rf"|[^\W\d_a-zß-öø-ÿ]\w*(?i:gasse|stra(?:ß|ss)e|weg|platz){_S}\d{{1,4}}[a-z]?,?\s(?:{_POST}{_S})?{_TOWN}"
+    rf"|\d{{1,4}}[a-z]?,?{_S}{_CAP}{_S}{_KIND_OF_WAY}(?!\w)"
+    rf")"
 )
 _INIT = r"[^\W\d_a-z]\."
 _NAME = re.compile(rf"(?<![\w@.])(?:{_CAP},{_S}(?:{_CAP}|{_INIT})(?:{_S}{_INIT})?|(?:{_CAP}|{_INIT})(?:{_S}{_INIT}){{0,2}}(?:{_S}{_CAP}){{1,3}})(?![\w@])")
 _TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "herr", "frau", "m", "mme", "sig"}
-_ASKS = r"(?:From:|typed by|thank|let|ask for|[Ss]igned by|Photographs?:|Rückfragen an|foto:|contact\||lists|write to|Écrire à|go to|reporter\W{2,5}|--|to|for)\s*$"
+_ASKS = r"(?:From:|typed by|[Tt]hank|thank [^.]{3,40} and|and let|ask for|[Ss]igned by|Photographs?:|Rückfragen an|foto:|contact\||lists|write to|Écrire à|finds go to|reporter\W{2,5}|--)\s*$"
 
 _LABELERS: dict[str, list] = {
     "name": [
         (re.compile(_ASKS), 1, "left"),
-        (re.compile(r"^(?:\s?\(talk\)|,\s[Tt]el\.|\s<|\||\"|;\snational|,\sidentity|\sfrom tape|\sfor the|\spass\b|\s-\s|,\s\d|\s\(\S+(?:@|\(at|\s\[at|\sAT)|,\s(?:Flat|\w+gasse))"), 1, "right"),
+        (re.compile(r"^(?:\s?\(talk\)|,\s[Tt]el\.|\s<|\||\",\s\"|;\snational|,\sidentity|\sfrom tape|(?:\sand\s[^.]{3,40})?\sfor the drawings|\spass\b|\s-\s\S+\s?(?:@|\(|\[|AT)|,\s\d+\w?,?\s(?:[NSEW]\.\s)?(?:[A-Z]|rue)|\s\(\S+(?:@|\(at|\s\[at|\sAT)|,\s(?:Flat|\w+gasse))"), 1, "right"),
         (re.compile(r"\w{4,}(?:ius|IUS)\b|(?i:\b(?:of|lex|the|siege|treaty|battle|synod|fire|games|muster|revolt)\b)"), -1, "self"),
         (re.compile(r"^\s[a-zß-ÿ]{3,}(?:ed|d|s|t|ve)\b(?<! pass)|^\s(?:of|and the|is|was|left|began|fit|fut|ließ|fece|kehrte)\b"), -1, "right"),
-        (re.compile(r"(?:\b(?:in|at|of|near|from|by the|under the \w+|the \w+|as|after|despite|and|or|joined|credit|call)\s)$", re.IGNORECASE), -1, "left"),
-        (re.compile(r"^(?:\S\.\s?)+\w+$|^\w+,\s\w+"), 1, "self"),
+        (re.compile(r"(?:\b(?:in|at|of|near|from|by the|under the \w+|the \w+|as|after|despite|or|joined|credit|call)\s)$", re.IGNORECASE), -1, "left"),
+        (re.compile(r"^(?:[^\W\d_]\.\s?)+\w+$|^\w+,\s\w+|^\w+\s[^\W\d_]\.\s\w+$"), 1, "self"),
     ],
     "email": [
         (re.compile(r"(?:<|\(|\"|mail\W*|to|or|-|\||from|,)\s*$"), 1, "left"),
