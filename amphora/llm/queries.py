@@ -74,14 +74,50 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(documents, materialize(personal_spans(documents), "personal"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.markup import found_kinds
+
+    return found_kinds(load(spark, d, "corpus"))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.markup import clean_corpus
+
+    return clean_corpus(load(spark, d, "corpus"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.neighbours import similar_pairs
+
+    return similar_pairs(load(spark, d, "node_vectors")).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.mixing import mix
+
+    return mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from amphora.llm.mixing import mix, shares
+
+    targets = load(spark, d, "mix_targets")
+    return shares(materialize(mix(load(spark, d, "documents"), targets), "mix"), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_values": p6_values,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_redacted": p10_redacted,
 }
@@ -121,4 +157,9 @@ m AS (SELECT g.root, mention_id, row_number() OVER (PARTITION BY g.root ORDER BY
       FROM extractions e JOIN grp g ON e.name = g.name AND e.type = g.type)
 SELECT g.group_name, g.group_type, c.canonical, m.mention_id FROM big JOIN grp g ON g.id = big.root
 JOIN c ON c.root = big.root AND c.k = 1 JOIN m ON m.root = big.root AND m.k = 1""",
+    "p5_found": """
+WITH v AS (SELECT vec_id AS id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM node_vectors WHERE len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0),
+u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+r AS (SELECT x.id AS q, y.id AS e, row_number() OVER (PARTITION BY x.id ORDER BY list_dot_product(x.v, y.v) / (x.n * y.n) DESC, y.id) AS k FROM u x JOIN u y ON x.id <> y.id)
+SELECT DISTINCT least(q, e) AS vec_a, greatest(q, e) AS vec_b FROM r WHERE k <= 5""",
 }
