@@ -41,8 +41,8 @@ def _local_topk(qids: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key: str = "vec_id", vector: str = "vector", block: int = 2_000) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine top k; ties go to the smaller id, a query isn't its own hit.
+def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key: str = "vec_id", vector: str = "vector", block: int = 2_000, own_hits: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): exact cosine top k; ties go to the smaller id. Unless ``own_hits``, a query is a row of the table and isn't its own hit.
 
     The stated queries (query_id, vector) meet all rows in blocks of at most about ``block`` vectors: what a task holds is bounded, and a task returns
     k rows a query and batch. Unusable vectors on either side are left out.
@@ -61,7 +61,7 @@ def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key
     if out is None:
         return table.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = out.where("query_id <> id").withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w))
+    ranked = (out if own_hits else out.where("query_id <> id")).withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k)
 
 
