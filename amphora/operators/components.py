@@ -1,29 +1,57 @@
-"""Connected components of a small-diameter link graph by hooking and pointer jumping on tables."""
+"""Connected components of links between names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amphora.session import forget, materialize
 
 
-def component_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labels of all links of one task: each id with the smallest id it is linked to."""
+    leader: dict = {}
+
+    def lead(x):
+        path = []
+        while (up := leader.setdefault(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            leader[p] = x
+        return x
+
+    for frame in frames:
+        for a, b in zip(frame["a"], frame["b"], strict=True):
+            x, y = lead(a), lead(b)
+            if x != y:
+                leader[max(x, y)] = min(x, y)
+    ids = list(leader)
+    yield pd.DataFrame({"id": ids, "label": [lead(x) for x in ids]})
+
+
+def component_labels(links: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """(id, label): every id of the links (a, b) with the smallest id of its component.
 
-    Each round takes the least label of the neighbours and then the label of that label, so that paths shrink
-    by half; every round is written to the shared folder. Ids may be of any orderable type.
+    While there are more than ``bound`` links, every id hooks to its smallest neighbour and the links are drawn between the
+    hooks, which at least halves the ids that have links; each round is written to the shared folder. What is left fits one
+    task. Ids may be of any orderable type; a link of an id to itself makes it a component of its own.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.id == near.a).select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = materialize(hooked.join(up, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "was"), "labels")
-        old, labels = labels, new.select("id", "label")
-        changed = new.where("label <> was").limit(1).count()
-        forget(old)
-        if not changed:
-            break
+    kind = links.schema["a"].dataType.simpleString()
+    level, hooks = materialize(links.select("a", "b").distinct(), "links"), []
+    while level.count() > bound:
+        both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "hooks")
+        ends = level.join(hook.withColumnRenamed("m", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
+        nxt = materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        forget(level)
+        hooks.append(hook)
+        level = nxt
+    labels = level.repartition(1).mapInPandas(_solve, f"id {kind}, label {kind}")  # at most ``bound`` links
+    for hook in reversed(hooks):
+        deeper = labels.select(F.col("id").alias("m"), F.col("label").alias("deep"))
+        labels = materialize(hook.join(deeper, "m", "left").select(F.col("a").alias("id"), F.coalesce("deep", "m").alias("label")), "labels")
     return labels
