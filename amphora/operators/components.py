@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amphora.session import forget, materialize
 
 
-def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels of all links of one task: each id with the smallest id it is linked to."""
     leader: dict = {}
 
@@ -24,13 +24,14 @@ def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             leader[p] = x
         return x
 
-    for frame in frames:
-        for a, b in zip(frame["a"], frame["b"], strict=True):
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = lead(a), lead(b)
             if x != y:
                 leader[max(x, y)] = min(x, y)
     ids = list(leader)
-    yield pd.DataFrame({"id": ids, "label": [lead(x) for x in ids]})
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lead(x) for x in ids])], names=["id", "label"])
 
 
 def component_labels(links: DataFrame, bound: int = 1_000_000) -> DataFrame:
@@ -50,7 +51,7 @@ def component_labels(links: DataFrame, bound: int = 1_000_000) -> DataFrame:
         forget(level)
         hooks.append(hook)
         level = nxt
-    labels = level.repartition(1).mapInPandas(_solve, f"id {kind}, label {kind}")  # at most ``bound`` links
+    labels = level.repartition(1).mapInArrow(_solve, f"id {kind}, label {kind}")  # at most ``bound`` links
     for hook in reversed(hooks):
         deeper = labels.select(F.col("id").alias("m"), F.col("label").alias("deep"))
         labels = materialize(hook.join(deeper, "m", "left").select(F.col("a").alias("id"), F.coalesce("deep", "m").alias("label")), "labels")
