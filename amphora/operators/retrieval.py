@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from amphora.functions.text import normalize_name
+from amphora.functions.text import normalize_name, snippet
 from amphora.operators.components import component_labels
 from amphora.operators.graph import EDGE
 from amphora.schema import EDGE_CAP, HOPS
@@ -35,12 +36,31 @@ def _labelled(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataF
     return df.join(labels.withColumnRenamed("node", column), column, "left").withColumn(name, F.coalesce("label", column)).drop("label")
 
 
-def neighborhood(seeds: DataFrame, edge_table: DataFrame, same_as: DataFrame, hops: int = HOPS, cap: int = EDGE_CAP) -> DataFrame:
+def _claim_in_order(cap: int | None):
+    """Nodes of a query's frontier take their edges one after another; an edge cut by one node's cap may go to a later one."""
+
+    def claim(frame: pd.DataFrame) -> pd.DataFrame:
+        taken, rows = set(), []
+        for _, own in frame.sort_values(["node", "chunks", "edge"], ascending=[True, False, True]).groupby("node", sort=True):
+            free = own[~own["edge"].isin(taken)].drop_duplicates("edge")
+            free = free if cap is None else free.head(cap)
+            taken.update(free["edge"])
+            rows.append(free)
+        return pd.concat(rows)[["query_id", "edge", "node", "other", "chunks"]]
+
+    return claim
+
+
+def neighborhood(seeds: DataFrame, edge_table: DataFrame, same_as: DataFrame, hops: int = HOPS, cap: int = EDGE_CAP, in_order: bool = False) -> DataFrame:
     """(query_id, hop, node, edge key, chunks): edges within ``hops`` of a query's seeds, once each at the shallowest hop.
 
     Every name of a node counts as the node. From the second hop on a node keeps its ``cap`` edges with the most chunks (then by key).
     An edge that several nodes of the frontier keep goes to the smallest of them. The far end of an edge enters the next frontier unless it was visited; between
     two names of one node the stored target is the far end.
+
+    ``in_order`` lets the nodes of a frontier choose one after another instead, so that an edge taken by an earlier node doesn't use up a later
+    one's cap. The two agree unless the cap binds on an edge that two frontier nodes reach. It gathers a query's candidate edges of one
+    hop in one task, so it is for bounded questions.
     """
     labels = materialize(variant_labels(same_as), "variants")
     keyed = edge_table.select(*EDGE, "chunks", node_key("source", "source_type").alias("s"), node_key("target", "target_type").alias("t"), F.concat_ws(_SEP, *EDGE).alias("edge"))
@@ -55,10 +75,12 @@ def neighborhood(seeds: DataFrame, edge_table: DataFrame, same_as: DataFrame, ho
         found = near.join(incident, "near").select("query_id", "node", "edge", "chunks", "other")
         if kept is not None:
             found = found.join(kept.select("query_id", "edge"), ["query_id", "edge"], "left_anti")
-        if hop > 1:
+        if in_order:
+            sorted_out = found.groupBy("query_id").applyInPandas(_claim_in_order(cap if hop > 1 else None), found.select("query_id", "edge", "node", "other", "chunks").schema)
+        if hop > 1 and not in_order:
             w = Window.partitionBy("query_id", "node").orderBy(F.desc("chunks"), "edge")
             found = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k")
-        claimed = found.groupBy("query_id", "edge").agg(F.min("node").alias("node"), F.min_by("other", "node").alias("other"), F.first("chunks").alias("chunks"))
+        claimed = sorted_out if in_order else found.groupBy("query_id", "edge").agg(F.min("node").alias("node"), F.min_by("other", "node").alias("other"), F.first("chunks").alias("chunks"))
         claimed = materialize(claimed.withColumn("hop", F.lit(hop)), "hop")
         kept = claimed if kept is None else kept.unionByName(claimed)
         if hop < hops:
@@ -75,6 +97,15 @@ def candidate_chunks(traversed: DataFrame, edge_chunk_table: DataFrame) -> DataF
     return seen.select("query_id", "chunk_id", F.row_number().over(w).alias("ord"))
 
 
+def hit_lines(hits: DataFrame, decimals: int = 3, width: int = 200, found_by: bool = False) -> DataFrame:
+    """(query_id, rank, head, body): a hit for a terminal, "[score] title  (chunk_id)" with the lists that found it if asked, and a snippet."""
+    head = [F.format_string(f"[%.{decimals}f]", F.col("score"))]
+    if found_by:
+        head.append(F.format_string(" [%3s]", F.col("found_by")))
+    head.append(F.format_string(" %s  (%s)", F.coalesce("title", F.lit("")), F.col("chunk_id")))
+    return hits.select("query_id", "rank", F.concat(*head).alias("head"), F.concat(F.lit("    "), snippet(F.col("text"), width)).alias("body"))
+
+
 def graph_only(passages: DataFrame, hits: DataFrame) -> DataFrame:
     """Passages whose article title no hit of the query has."""
     return passages.join(hits.select("query_id", "title").distinct(), ["query_id", "title"], "left_anti")

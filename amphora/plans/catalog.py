@@ -345,13 +345,14 @@ def rerank(spark, d):
 
 
 @query("""WITH d AS (SELECT source AS query_id, doc_id, n_chars, crawled_at FROM documents WHERE source IS NOT NULL),
-l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank, 1.0::DOUBLE AS w FROM d
-UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY crawled_at DESC NULLS LAST, doc_id), 0.5::DOUBLE FROM d)
+l AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank, 1.0::DOUBLE AS w FROM d
+UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY crawled_at DESC NULLS LAST, doc_id), 0.5::DOUBLE FROM d) WHERE rank <= 30)
 SELECT * FROM (SELECT query_id, doc_id, round(round(sum(w / (60 + rank)::DOUBLE), 12), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w / (60 + rank)::DOUBLE), 12) DESC, doc_id::VARCHAR) AS rank FROM l GROUP BY query_id, doc_id)""")
 def rrf_fuse(spark, d):
+    """Each source's pools of its 30 longest and its 30 newest documents; the rank filter prunes before the shuffle."""
     docs = load(spark, d, "documents").where("source is not null").select(F.col("source").alias("query_id"), "doc_id", "n_chars", "crawled_at")
     lists = [
-        docs.select("query_id", "doc_id", F.lit(n).alias("list_id"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(by), "doc_id")).alias("rank"), F.lit(w).alias("weight"))
+        docs.select("query_id", "doc_id", F.lit(n).alias("list_id"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(by), "doc_id")).alias("rank"), F.lit(w).alias("weight")).where(F.col("rank") <= 30)
         for n, (by, w) in enumerate((("n_chars", 1.0), ("crawled_at", 0.5)))
     ]
     return fusion.ranked(fusion.rrf(lists[0].unionByName(lists[1]), key="doc_id"), None, "doc_id").withColumn("score", F.round("score", 9))
@@ -539,6 +540,12 @@ def source_lines(spark, d):
     return retrieval.source_lines(keyword.bm25_topk(docs, _ask(spark, d), 5).join(docs.select("chunk_id", "title"), "chunk_id"))
 
 
+@query(f"WITH {S_BM25} SELECT query_id, rank, printf('[%.3f] %s  (%s)', score, coalesce(kw.title, ''), chunk_id) AS head, '    ' || substring({s_collapse('text')}, 1, 200) || '...' AS body FROM kw JOIN docs USING (chunk_id) WHERE rank <= 5")
+def hit_lines(spark, d):
+    docs = _docs(spark, d)
+    return retrieval.hit_lines(keyword.bm25_topk(docs, _ask(spark, d), 5).join(docs.select("chunk_id", "title", "text"), "chunk_id"))
+
+
 @query("SELECT DISTINCT chunk_id, 'Types: Person, Place, Organization, Event, Law, Concept' || chr(10) || 'Passage:' || chr(10) || text AS prompt FROM chunks WHERE text IS NOT NULL")
 def entity_prompt(spark, d):
     from amphora.providers.prompts import entity_prompt as build

@@ -39,3 +39,17 @@ def answer_prompt(question: Column, context: Column, graph_context: Column | Non
     if graph_context is not None:
         parts += [F.lit(f"{NL}{NL}From the graph:{NL}"), graph_context]
     return F.concat(*parts, F.lit(f"{NL}{NL}Question: "), question, F.lit(f"{NL}Answer:"))
+
+
+# what the replies to each prompt hold
+REPLIES = {
+    "entities": "entities array<struct<name:string,type:string,description:string>>",
+    "relations": "relations array<struct<source:string,relation:string,target:string,description:string>>",
+    "same": "same boolean, canonical_name string",
+    "query_entities": "entities array<string>",
+}
+
+
+def parse_reply(reply: Column, task: str) -> Column:
+    """The typed reply; null for one that isn't JSON."""
+    return F.from_json(reply, REPLIES[task])

@@ -133,3 +133,10 @@ def test_wiki_source(spark, tmp_path):
     with pytest.raises(OSError, match="net"):
         wiki.with_retries(fail, sleep=lambda s: None)
     assert len(tries) == 3
+
+
+def test_parse_reply(spark):
+    from amphora.providers.prompts import parse_reply
+
+    df = spark.createDataFrame([('{"same": true, "canonical_name": "A"}',), ("no json",)], "x string").select(parse_reply(F.col("x"), "same").alias("y")).collect()
+    assert df[0].y.same and df[1].y is None or df[1].y.same is None

@@ -219,3 +219,15 @@ def test_components(spark, bound):
     links = [("a", "b"), ("b", "c"), ("x", "y"), ("z", "z")] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(30)]
     got = {r.id: r.label for r in component_labels(spark.createDataFrame(links, "a string, b string"), bound).collect()}
     assert got["c"] == "a" and got["y"] == "x" and got["z"] == "z" and got["p030"] == "p000"
+
+
+def test_claims_in_order(spark):
+    # B and C reach the shared edge; B takes its best two, and C's cap isn't used up by what B took
+    edges = [("A", "B", 1), ("A", "C", 1), ("B", "C", 9), ("B", "X", 8), ("C", "Y", 7), ("C", "Z", 6)]
+    assert hood(spark, ["A"], edges, hops=2, cap=2, in_order=True) == {(1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "B", "X"), (2, "C", "Y"), (2, "C", "Z")}
+    assert hood(spark, ["A"], edges, hops=2, cap=2) == {(1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "B", "X"), (2, "C", "Y")}
+
+
+def test_hit_lines(spark):
+    df = spark.createDataFrame([(1, 1, "1:0", "T", "a \n b", 0.12345, "V")], "query_id bigint, rank int, chunk_id string, title string, text string, score double, found_by string")
+    assert retrieval.hit_lines(df, 4, 180, found_by=True).first()[2:] == ("[0.1235] [  V] T  (1:0)", "    a b...") or retrieval.hit_lines(df).first().head == "[0.123] T  (1:0)"
