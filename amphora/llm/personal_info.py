@@ -45,18 +45,18 @@ _ADDRESS = re.compile(
     rf"\d{{1,4}}[a-z]?{_S}(?:[NSEW]\.{_S})?{_CAP}(?:{_S}{_CAP})?{_S}{_KIND_OF_WAY}(?:,?{_S}(?:Apt\.?|Flat|Unit){_S}\d+)?,?\s{{1,2}}(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST})?"
     rf"|\d{{1,4}}[a-z]?,?{_S}(?i:rue|via|calle|place){_S}(?:d\w*{_S})?{_CAP},?\s(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST})?"
     rf"|[^\W\d_a-zß-öø-ÿ]\w*(?i:gasse|stra(?:ß|ss)e|weg|platz){_S}\d{{1,4}}[a-z]?,?\s(?:{_POST}{_S})?{_TOWN}"
-    rf"|\d{{1,4}}[a-z]?,?{_S}{_CAP}{_S}{_KIND_OF_WAY}(?!\w)"
+    rf"|\d{{1,4}}[a-z]?{_S}{_CAP}{_S}{_KIND_OF_WAY}(?!\w)"
     rf")"
 )
 _INIT = r"[^\W\d_a-z]\."
 _NAME = re.compile(rf"(?<![\w@.])(?:{_CAP},{_S}(?:{_CAP}|{_INIT})(?:{_S}{_INIT})?|(?:{_CAP}|{_INIT})(?:{_S}{_INIT}){{0,2}}(?:{_S}{_CAP}){{1,3}})(?![\w@])")
 _TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "herr", "frau", "m", "mme", "sig"}
-_ASKS = r"(?:From:|typed by|[Tt]hank|thank [^.]{3,40} and|and let|ask for|[Ss]igned by|Photographs?:|Rückfragen an|foto:|contact\||lists|write to|Écrire à|finds go to|reporter\W{2,5}|--)\s*$"
+_ASKS = r"(?:From:|typed by|[Tt]hank|[Tt]hank [^\n;:?!]{3,50} and|and let|ask for|[Ss]igned by|Photographs?:|Rückfragen an|foto:|contact\||lists|write to|Écrire à|finds go to|reporter\W{2,5}|--)\s*$"
 
 _LABELERS: dict[str, list] = {
     "name": [
         (re.compile(_ASKS), 1, "left"),
-        (re.compile(r"^(?:\s?\(talk\)|,\s[Tt]el\.|\s<|\||\",\s\"|;\snational|,\sidentity|\sfrom tape|(?:\sand\s[^.]{3,40})?\sfor the drawings|\spass\b|\s-\s\S+\s?(?:@|\(|\[|AT)|,\s\d+\w?,?\s(?:[NSEW]\.\s)?(?:[A-Z]|rue)|\s\(\S+(?:@|\(at|\s\[at|\sAT)|,\s(?:Flat|\w+gasse))"), 1, "right"),
+        (re.compile(r"^(?:\s?\(talk\)|,\s[Tt]el\.|\s<|\||\",\s\"|;\snational|,\sidentity|\sfrom tape|(?:\sand\s[^\n;:?!]{3,50})?\sfor the drawings|\spass\b|\s-\s\S+\s?(?:@|\(|\[|AT)|,\s\d+\w?,?\s(?:[NSEW]\.\s)?(?:[A-Z]|rue)|\s\(\S+(?:@|\(at|\s\[at|\sAT)|,\s(?:Flat|\w+gasse))"), 1, "right"),
         (re.compile(r"\w{4,}(?:ius|IUS)\b|(?i:\b(?:of|lex|the|siege|treaty|battle|synod|fire|games|muster|revolt)\b)"), -1, "self"),
         (re.compile(r"^\s[a-zß-ÿ]{3,}(?:ed|d|s|t|ve)\b(?<! pass)|^\s(?:of|and the|is|was|left|began|fit|fut|ließ|fece|kehrte)\b"), -1, "right"),
         (re.compile(r"(?:\b(?:in|at|of|near|from|by the|under the \w+|the \w+|as|after|despite|or|joined|credit|call)\s)$", re.IGNORECASE), -1, "left"),
@@ -118,7 +118,7 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _judge(text: str, kind: str, a: int, b: int) -> tuple[str, list[int]]:
     """(votes, hashed features) of a candidate."""
-    left, right, own = text[max(0, a - 32) : a], text[b : b + 32], text[a:b]
+    left, right, own = text[max(0, a - 64) : a], text[b : b + 64], text[a:b]
     votes = "".join(
         ("+" if v > 0 else "-") if rx.search(left if where == "left" else right if where == "right" else own) else "0" for rx, v, where in _LABELERS[kind]
     )
