@@ -16,7 +16,7 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none, and it runs on one machine as in tests, a temporary folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = jsc.getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="amphora-")
         spark.sparkContext.setCheckpointDir(path)
         path = jsc.getCheckpointDir().get()

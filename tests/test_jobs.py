@@ -140,3 +140,25 @@ def test_parse_reply(spark):
 
     df = spark.createDataFrame([('{"same": true, "canonical_name": "A"}',), ("no json",)], "x string").select(parse_reply(F.col("x"), "same").alias("y")).collect()
     assert df[0].y.same and df[1].y is None or df[1].y.same is None
+
+
+def test_stored_graph(spark, tmp_path):
+    from amphora.schema import EXTRACTION
+    from amphora.streaming import graph_tables as gt
+
+    path = str(tmp_path / "graph")
+    ent = lambda *x: [(n, t, "") for n, t in x]
+    one = spark.createDataFrame([("1:0", "t", ent(("Rome", "Place"), ("Nero", "Person"), ("Rome", "Organization")), [("Nero", "RULED", "Rome", "d"), ("Nero", "RULED", "Nobody", "d"), ("Nero", "ATE", "Rome", "d")])], EXTRACTION)
+    two = spark.createDataFrame([("2:0", "t", ent(("Rome", "Place"), ("NERO", "Person")), [])], EXTRACTION)
+    assert tuple(gt.load_records(one, path).first()) == (3, 1, 2)
+    for records in (two, one):
+        gt.load_records(records, path)
+    nodes = {(r.name, r.type, r.chunk_id) for r in gt.read(spark, f"{path}/node_chunks", "name string, type string, chunk_id string, seen bigint").collect()}
+    assert nodes == {("Rome", "Place", "1:0"), ("Rome", "Place", "2:0"), ("Rome", "Organization", "1:0"), ("Nero", "Person", "1:0"), ("NERO", "Person", "2:0")}
+    edges = gt.read(spark, f"{path}/edge_chunks", "source string, target_type string, chunk_id string").collect()
+    assert [(r.source, r.target_type, r.chunk_id) for r in edges] == [("Nero", "Organization", "1:0")]
+    link = "a_name string, a_type string, b_name string, b_type string, canonical string"
+    for rows in ([("Nero", "Person", "NERO", "Person", "Nero")], [("NERO", "Person", "Nero", "Person", "Nero Claudius"), ("Nero", "Person", "Ghost", "Person", "x")]):
+        gt.link_same_as(spark.createDataFrame(rows, link), path)
+    assert [tuple(r) for r in gt.read(spark, f"{path}/same_as", link).collect()] == [("NERO", "Person", "Nero", "Person", "Nero Claudius")]
+    assert gt.newest(spark, f"{path}/node_chunks") == 3
