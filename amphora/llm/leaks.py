@@ -100,6 +100,12 @@ def _windows(texts: list[list[int]], window: int) -> tuple[np.ndarray, np.ndarra
     return symbols, starts, ends, owner
 
 
+def _bigrams(h: list[int]) -> list[int]:
+    """A number for each pair of neighbouring words."""
+    a = np.array(h, np.uint64)
+    return (a[:-1] * _ODD + a[1:]).tolist() if len(a) > 1 else []
+
+
 class Items:
     """The signatures of the items' windows."""
 
@@ -118,17 +124,18 @@ class Items:
                 maybe = np.zeros(1 << 20, bool)
                 maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
                 self.tables.append((key[order], owner[order], offset[order], maybe))
-        self.pairs = [set(zip(h, h[1:], strict=False)) for h in self.hashed]
+        self.pairs = [set(_bigrams(h)) for h in self.hashed]
 
-    def candidates(self, texts: list[list[int]]) -> set[tuple[int, int, int]]:
+    def candidates(self, texts: list[list[int]]) -> list[tuple[int, int, int]]:
         """(text, item, shift): windows that share a key; shifts are rounded to half windows."""
         symbols, starts, ends, owner = _windows(texts, self.walks.window)
         if not len(starts) or not self.tables:
-            return set()
+            return []
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         local = starts - first[owner]
         half = self.walks.window
-        found: set[tuple[int, int, int]] = set()
+        found = [np.zeros(0, np.int64)]
+        wide = np.int64(len(self.ids))
         for key, (keys, items, offsets, maybe) in zip(self.walks.keys(symbols, starts, ends), self.tables, strict=True):
             hit = np.flatnonzero(maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
@@ -139,9 +146,10 @@ class Items:
             row = np.repeat(hit, n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             shift = (local[row] - offsets[at]) // half
-            triples = np.unique(np.stack([owner[row], items[at], shift], 1), axis=0)
-            found.update(map(tuple, triples.tolist()))
-        return found
+            found.append(np.unique(((owner[row] * wide + items[at]) << 24) + shift + (1 << 23)))  # texts of up to 2^23 windows' length
+        packed = np.unique(np.concatenate(found))
+        pair, shift = packed >> 24, (packed & ((1 << 24) - 1)) - (1 << 23)
+        return list(zip((pair // wide).tolist(), (pair % wide).tolist(), shift.tolist(), strict=True))
 
 
 def coverage(item: list, passage: list, gap: int = 2, least: int = 6) -> float:
@@ -180,14 +188,17 @@ def _scan(rows: list[tuple[int, str]], walks: Walks, share: float, batch_words:
             near: dict[tuple[int, int], list[int]] = {}
             for t, i, s in items.candidates(texts):
                 near.setdefault((t, i), []).append(s)
-            out = set()
-            for (t, i), shifts in near.items():
+            out, of, bigrams = set(), -1, []
+            for (t, i), shifts in near.items():  # ordered by text
                 item, text, w = items.hashed[i], texts[t], walks.window
+                if t != of:
+                    of, bigrams = t, _bigrams(text)
                 for s in sorted(set(shifts)):
                     lo = max(0, (s - 1) * w - len(item) // 8)
-                    passage = text[lo : (s + 2) * w + len(item) * 5 // 4]
-                    shared = len(items.pairs[i].intersection(zip(passage, passage[1:], strict=False)))
-                    if shared >= 0.3 * share * 2 * len(item) * 0.8 and coverage(item, passage) >= share:
+                    hi = (s + 2) * w + len(item) * 5 // 4
+                    # a passage that covers the share has at least half as many of the item's pairs of words
+                    shared = len(items.pairs[i].intersection(bigrams[lo : max(hi - 1, 0)]))
+                    if shared >= 0.48 * share * len(item) and coverage(item, text[lo:hi]) >= share:
                         out.add((ids[t], items.ids[i]))
                         break
             ids.clear()
