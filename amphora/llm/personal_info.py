@@ -116,15 +116,19 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
             yield "name", a, b
 
 
+_TOKEN, _AGAIN, _LETTERS = re.compile(r"\w+|[^\w\s]"), re.compile(r"(.)\1+"), re.compile(r"[^\W\d_]+")
+_UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-ÿ]"), re.compile(r"[a-zß-ÿ]"), re.compile(r"\d")
+
+
 def _judge(text: str, kind: str, a: int, b: int) -> tuple[str, list[int]]:
     """(votes, hashed features) of a candidate."""
     left, right, own = text[max(0, a - 64) : a], text[b : b + 64], text[a:b]
     votes = "".join(
         ("+" if v > 0 else "-") if rx.search(left if where == "left" else right if where == "right" else own) else "0" for rx, v, where in _LABELERS[kind]
     )
-    lw, rw = re.findall(r"\w+|[^\w\s]", left)[-2:], re.findall(r"\w+|[^\w\s]", right)[:2]
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_a-zß-ÿ]", "A", re.sub(r"[a-zß-ÿ]", "a", re.sub(r"\d", "9", own))))[:16]
-    endings = [w[-3:].lower() for w in re.findall(r"[^\W\d_]+", own)][:4] if kind == "name" else []
+    lw, rw = _TOKEN.findall(left)[-2:], _TOKEN.findall(right)[:2]
+    shape = _AGAIN.sub(r"\1", _UPPER.sub("A", _LOWER.sub("a", _DIGIT.sub("9", own))))[:16]
+    endings = [w[-3:].lower() for w in _LETTERS.findall(own)][:4] if kind == "name" else []
     feats = [f"v{i}{v}" for i, v in enumerate(votes)] + [f"l1{lw[-1:]}", f"l2{lw}", f"r1{rw[:1]}", f"r2{rw}", f"s{shape}"] + [f"e{e}" for e in endings]
     return votes, sorted({zlib.crc32(f"{kind}|{f}".encode("utf-8", "surrogatepass")) % _DIM for f in feats})
 
@@ -184,20 +188,23 @@ def fit_logistic(feats: list[list[int]], target: np.ndarray, rounds: int = 200,
 
 
 def _decide(models: dict[str, np.ndarray], threshold: float):
+    names = list(models)
+    weights = np.stack([models[k] for k in names]) if names else np.zeros((1, _DIM + 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, feats = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep, ps = [], []
-            for i, (k, f) in enumerate(zip(kinds, feats, strict=True)):
-                w = models.get(k)
-                z = float(w[f].sum() + w[-1]) if w is not None else -30.0
-                p = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
-                if p >= threshold:
-                    keep.append(i)
-                    ps.append(p)
-            rest = batch.select([2, 3, 4, 5]).take(pa.array(keep, pa.int64()))
-            kind = batch.column(0).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kind, *rest.columns, pa.array(ps, pa.float64())], names=["kind", "doc_id", "a", "b", "value", "p"])
+            of = {k: i for i, k in enumerate(names)}
+            model = np.array([of.get(k, -1) for k in batch.column(0).to_pylist()], np.int64)
+            feats = batch.column(1)
+            ends = feats.offsets.to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            flat = feats.flatten().to_numpy()
+            z = np.bincount(owner, weights[model[owner], flat], batch.num_rows) + weights[model, -1]
+            p = np.where(model < 0, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            keep = np.flatnonzero(p >= threshold)
+            rows = pa.array(keep)
+            rest = [batch.column(i).take(rows) for i in (2, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *rest, pa.array(p[keep], pa.float64())], names=["kind", "doc_id", "a", "b", "value", "p"])
 
     return run
 
