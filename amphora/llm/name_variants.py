@@ -41,17 +41,17 @@ class TokenTrie:
                 node = node.setdefault(c, {})
             node[""] = t
 
-    def neighbours(self, query: str, k: int) -> list[str]:
-        """Tokens within ``k`` insertions, deletions or substitutions of ``query``."""
+    def neighbours(self, query: str, k: int, swaps: bool = False) -> list[str]:
+        """Tokens within ``k`` insertions, deletions or substitutions of ``query``; with ``swaps`` an adjacent swap is one edit too."""
         masks: dict[str, int] = {}
         for i, c in enumerate(query):
             masks[c] = masks.get(c, 0) | (1 << i)
         accept = 1 << len(query)
         full = (accept << 1) - 1
         start = [(1 << (d + 1)) - 1 & full for d in range(k + 1)]  # after d deletions of the query's first characters
-        out, stack = [], [(self.root, start)]
+        out, stack = [], [(self.root, start, [0] * (k + 1))]
         while stack:
-            node, states = stack.pop()
+            node, states, swapped = stack.pop()
             for c, child in node.items():
                 if c == "":
                     if states[k] & accept:
@@ -63,11 +63,13 @@ class TokenTrie:
                 nxt = [new]
                 for d in range(1, k + 1):
                     old = states[d]
-                    cur = (((old & m) << 1) | prev_old | (prev_old << 1) | (new << 1)) & full
+                    cur = (((old & m) << 1) | prev_old | (prev_old << 1) | (new << 1) | ((swapped[d] & m) << 2)) & full
                     nxt.append(cur)
                     prev_old, new = old, cur
                 if nxt[k]:
-                    stack.append((child, nxt))
+                    # the second letter of a swap was read before its first: that one must come next
+                    begun = [0, *(states[d - 1] & (m >> 1) for d in range(1, k + 1))] if swaps else swapped
+                    stack.append((child, nxt, begun))
         return out
 
 
@@ -188,7 +190,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met: set[int] = set()
             for t in keys:
                 if t not in near:
-                    near[t] = trie.neighbours(t, bound_of(t))
+                    near[t] = trie.neighbours(t, bound_of(t), swaps=True)
                 for u in near[t]:
                     met.update(by_token[u])
             for n in met:
@@ -234,8 +236,7 @@ def spelling_units(extractions: DataFrame, types: tuple[str, ...] = ("Person", "
 def with_keys(units: DataFrame) -> DataFrame:
     """Add ``keys``: the telling tokens of a unit, those in at most a thousandth of the units (50 at least), or all.
 
-    The same name always agrees in a telling token, equal or misspelt, as every token of the shorter must be met; tokens
-    such as given names and trades are compared but never looked up.
+    They cut the shards of units without a place; inside a place every token is looked up.
     """
     limit = max(50, units.count() // 1000)
     tokens = units.select("id", "type", F.explode(F.array_distinct(F.split("spelling", " "))).alias("t"))
@@ -245,13 +246,17 @@ def with_keys(units: DataFrame) -> DataFrame:
 
 
 def _by_place(units: DataFrame, shard_units: int) -> DataFrame:
-    """Shards of units of one type and place; a shard too large is cut into blocks, which all its units probe."""
+    """Shards of units of one type and place; a shard too large is cut into blocks, which all its units probe.
+
+    Every token of four letters or more is a key, as only those can be spelt alike.
+    """
     placed = units.where("place <> ''")
     sizes = placed.groupBy("type", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(shard_units)).cast("int"))
     sized = placed.join(sizes, ["type", "place"])
     own = F.pmod("id", "blocks").cast("int")
     block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    return sized.select("type", "place", "spelling", "id", "keys", own.alias("own"), block).select(
+    every = F.filter(F.array_distinct(F.split("spelling", " ")), lambda t: F.length(t) > 3)  # same_name wants one of these spelt alike
+    return sized.select("type", "place", "spelling", "id", every.alias("keys"), own.alias("own"), block).select(
         F.concat_ws("\x01", "type", "place", "block").alias("shard"), "id", "spelling", "place", "keys", (F.col("own") == F.col("block")).alias("indexed"), F.lit(True).alias("probes")
     )
 

@@ -112,3 +112,17 @@ def test_every_block_is_met(spark):
     rows = [(f"Ada {b}", "Person", "Censor, Nagobogin.") for b in base] + [(f"Ada {b}x", "Person", "Censor, Nagobogin.") for b in base]
     assert linked(spark, rows, shard_units=10) == linked(spark, rows, shard_units=1000)
     assert {("Person", f"ada {b}", f"ada {b}x") for b in base} <= linked(spark, rows, shard_units=10)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abc", max_size=7), max_size=25), st.text("abc", max_size=7), st.integers(0, 2))
+def test_automaton_with_swaps_against_brute_force(tokens, query, k):
+    assert set(nv.TokenTrie(tokens).neighbours(query, k, swaps=True)) == {t for t in tokens if nv.distance(query, t, k) <= k}
+
+
+def test_common_tokens_are_looked_up_in_a_place(spark):
+    rng = random.Random(5)
+    others = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    rows = [(f"{g} Smithsonia", "Person", f"Envoy, At{g}.") for g in others]
+    rows += [("Johnathan Smithsonia", "Person", "Censor, Nagobogin."), ("Joh Smithsonia", "Person", "Censor, Nagobogin."), ("D Botrukil", "Person", "Envoy, Traferelu."), ("D Obtruikl", "Person", "Envoy, Traferelu.")]
+    assert linked(spark, rows) == {("Person", "joh smithsonia", "johnathan smithsonia"), ("Person", "d botrukil", "d obtruikl")}
