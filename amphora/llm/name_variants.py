@@ -7,8 +7,10 @@ meet a token of the longer one as an equal, a misspelling, an initial, a shorten
 units become groups by union-find over bounded edge partitions.
 
 What tells people apart is the description, so the shard of a unit is the place its descriptions name (capitalised
-words after the first). A unit without any description is sharded by pairs of its name's tokens instead, meets units of
-any place, and joins the closest; if two places are equally close it joins none.
+words after the first). A unit without any description meets units of any place: two of its tokens must be spelt alike
+there (one, if it has no more), so it asks in the shards of every two tokens near its own, and each unit stands in the shards
+of every two of its tokens. Near tokens come from deletion neighbourhoods over all distinct tokens of the type. It joins the
+closest unit; if two places are equally close it joins none.
 
 Scale. Units are distinct before anything is compared, so a spelling holding a third of all rows is one unit. Shards
 stream through sorted partitions, one trie at a time. A shard of more than ``shard_units`` units is cut into
@@ -19,15 +21,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amphora.llm.components import min_labels
-from amphora.session import blank, materialize
+from amphora.session import blank, materialize, spread
 
 _SMALL = {"of", "and", "the", "de", "von", "van", "la"}  # words that spellings drop at will
+_LONG = 24  # letters beyond which a token is looked up by pieces
 
 
 class TokenTrie:
@@ -125,7 +129,7 @@ def words(name: str) -> list[str]:
     return [w for w in found if w not in _SMALL] or found
 
 
-def same_name(a: list[str], b: list[str], both_placed: bool) -> float | None:
+def same_name(a: list[str], b: list[str], both_placed: bool, cost_of=token_cost) -> float | None:
     """The cost of the cheapest pairing of tokens in any order, or None if the names can't be the same.
 
     Every token of the shorter name has to be met. One token of the longer may stay unmet (a dropped word) if a
@@ -136,7 +140,12 @@ def same_name(a: list[str], b: list[str], both_placed: bool) -> float | None:
         a, b = b, a
     if len(b) - len(a) > (1 if both_placed and len(a) > 1 else 0):
         return None
-    costs = [[token_cost(x, y) for y in b] for x in a]
+    costs = []
+    for x in reversed(a):  # places and family names, which differ most, come last
+        costs.append([cost_of(x, y) for y in b])
+        if not any(costs[-1]):
+            return None
+    costs.reverse()
     best: list = [None, 0]
 
     def place(i: int, used: int, cost: float, alike: int) -> None:
@@ -170,9 +179,20 @@ def same_name(a: list[str], b: list[str], both_placed: bool) -> float | None:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, id, spelling, place, keys, indexed, probes), sorted by shard, to links (a, b, cost, a_place, b_place)."""
+    """Rows (shard, id, spelling, place, keys, indexed, probes), sorted by shard, to links (a, b, cost, a_place, b_place).
+
+    Without keys every probe meets the whole shard.
+    """
     shard, rows = None, []
     out: list[tuple] = []
+    known: dict[tuple[str, str], tuple[float, bool] | None] = {}
+
+    def cost_of(x: str, y: str) -> tuple[float, bool] | None:
+        if (x, y) not in known:
+            if len(known) >= 200_000:
+                known.clear()
+            known[x, y] = token_cost(x, y)
+        return known[x, y]
 
     def work() -> None:
         indexed = [(i, words(s), p, k) for i, s, p, k, x, _ in rows if x]
@@ -181,14 +201,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         by_token: dict[str, list[int]] = {}
         for n, (_, _w, _p, keys) in enumerate(indexed):
-            for t in keys:
+            for t in keys or ():
                 by_token.setdefault(t, []).append(n)
         trie = TokenTrie(by_token)
         near: dict[str, list[str]] = {}
         done: set[tuple[int, int]] = set()
         for i, w, p, keys in probes:
-            met: set[int] = set()
-            for t in keys:
+            met: set[int] = set(range(len(indexed)) if keys is None else ())
+            for t in keys or ():
                 if t not in near:
                     near[t] = trie.neighbours(t, bound_of(t), swaps=True)
                 for u in near[t]:
@@ -199,7 +219,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if i == j or pair in done:
                     continue
                 done.add(pair)
-                cost = same_name(w, v, bool(p) and p == q)
+                cost = same_name(w, v, bool(p) and p == q, cost_of)
                 if cost is not None:
                     out.append((*pair, cost, *((p, q) if i < j else (q, p))))
 
@@ -233,18 +253,6 @@ def spelling_units(extractions: DataFrame, types: tuple[str, ...] = ("Person", "
     return materialize(placed.unionByName(bare).select(F.xxhash64("type", "spelling", "place").alias("id"), "type", "spelling", "place"), "units")
 
 
-def with_keys(units: DataFrame) -> DataFrame:
-    """Add ``keys``: the telling tokens of a unit, those in at most a thousandth of the units (50 at least), or all.
-
-    They cut the shards of units without a place; inside a place every token is looked up.
-    """
-    limit = max(50, units.count() // 1000)
-    tokens = units.select("id", "type", F.explode(F.array_distinct(F.split("spelling", " "))).alias("t"))
-    common = tokens.groupBy("type", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("type", "t")
-    telling = tokens.where(F.length("t") > 3).join(common, ["type", "t"], "left_anti").groupBy("id").agg(F.collect_list("t").alias("keys"))
-    return materialize(units.join(telling, "id", "left").withColumn("keys", F.coalesce("keys", F.array_distinct(F.split("spelling", " ")))), "keyed")
-
-
 def _by_place(units: DataFrame, shard_units: int) -> DataFrame:
     """Shards of units of one type and place; a shard too large is cut into blocks, which all its units probe.
 
@@ -261,20 +269,102 @@ def _by_place(units: DataFrame, shard_units: int) -> DataFrame:
     )
 
 
-def _by_tokens(units: DataFrame) -> DataFrame:
-    """Shards for units without a place: an equal telling token, or any equal token with an end of a telling one.
+def neighbourhood(token: str, asks: bool) -> set[str]:
+    """Keys of a token: whatever lies within the bound of the shorter of two tokens, swaps included, has a key that the other asks for.
 
-    Only shards that a unit without a place is in are kept.
+    They are the token with up to its bound of letters left out. Long tokens are cut into five pieces instead, one of
+    which two edits leave whole; who asks tries each length of the other and each shift.
+    """
+    n = len(token)
+    lengths = range(n - 2, n + 3) if asks else (n,)
+    out: set[str] = set()
+    if lengths[0] <= _LONG:
+        out = last = {token}
+        for _ in range(bound_of(token)):
+            last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+            out = out | last
+    for m in lengths:
+        if m > _LONG:
+            cuts = [m * i // 5 for i in range(6)]
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                out |= {f"{m} {i} {token[a + d : b + d]}" for d in (range(-2, 3) if asks else (0,)) if a + d >= 0 and b + d <= n}
+    return out
+
+
+def _neighbourhoods(asks: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                rows = [(y, t, k) for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for k in neighbourhood(t, asks)]
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(("type", "t", "key"))})
+
+    return run
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (type, t, u) whose tokens lie within the bound of the shorter."""
+    for batch in batches:
+        pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        bounds = ((t, u, bound_of(min(t, u, key=len))) for t, u in pairs)
+        yield batch.filter(pa.array([distance(t, u, k) <= k for t, u, k in bounds], pa.bool_()))
+
+
+def near_tokens(units: DataFrame) -> DataFrame:
+    """(type, t, near): each token of four letters or more of the units without a place, with all tokens of the type spelt alike."""
+    tokens = units.select("type", F.explode(F.array_distinct(F.split("spelling", " "))).alias("t"), (F.col("place") == "").alias("bare"))
+    tokens = materialize(tokens.where(F.length("t") > 3).groupBy("type", "t").agg(F.max("bare").alias("bare")), "tokens")
+    schema = "type string, t string, key string"
+    asked = tokens.where("bare").select("type", "t").mapInArrow(_neighbourhoods(True), schema)
+    held = spread(tokens.select("type", "t")).mapInArrow(_neighbourhoods(False), schema).withColumnRenamed("t", "u")
+    met = asked.join(held, ["type", "key"]).select("type", "t", "u").distinct()
+    return met.mapInArrow(_within, "type string, t string, u string").groupBy("type", "t").agg(F.collect_list("u").alias("near"))
+
+
+def _pair_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (type, id, spelling, place, near) to (shard, id, spelling, place), a row for every two near tokens; tokens without ``near`` are near themselves."""
+    names, types = ("shard", "id", "spelling", "place"), (pa.string(), pa.int64(), pa.string(), pa.string())
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(names))
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for y, i, s, p, near in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            w = words(s)
+            of = {x["t"]: x["near"] for x in near or ()}
+            alike = [of.get(x, [x]) for x in w if len(x) > 3]
+            if len(w) == 1:
+                found = {(u,) for us in alike for u in us}
+            else:
+                found = {(u, v) if u < v else (v, u) for us, vs in combinations(alike, 2) for u in us for v in vs}
+            rows.extend(("\x01".join((y, str(len(w)), *f)), i, s, p) for f in found)
+            if len(rows) > 50_000:
+                yield flush(rows)
+                rows = []
+        yield flush(rows)
+
+
+def _by_alike(units: DataFrame, shard_units: int) -> DataFrame:
+    """Shards for units without a place, by the number of words and two tokens (the token of a one-word name).
+
+    Without a place ``same_name`` takes names of as many words with two of them spelt alike, so no pair that it takes is
+    missed. Shards that nobody asks in are left out; one too large is cut into blocks, in each of which the askers ask.
     """
-    whole = F.transform("keys", lambda k: F.concat(F.lit("="), k))
-    tokens = F.filter(F.split("spelling", " "), lambda t: F.length(t) > 3)
-    ends = lambda k: F.array(F.concat(F.lit("<"), F.substring(k, 1, 3)), F.concat(F.lit(">"), F.substring(k, -3, 3)))
-    beside = lambda t: F.flatten(F.transform(F.filter("keys", lambda k: k != t), lambda k: F.transform(ends(k), lambda e: F.concat(t, e))))
-    shards = F.explode(F.array_distinct(F.concat(whole, F.flatten(F.transform(tokens, beside))))).alias("k")
-    rows = units.select("*", shards).select(
-        F.concat_ws("\x01", "type", "k").alias("shard"), "id", "spelling", "place", "keys", F.lit(True).alias("indexed"), (F.col("place") == "").alias("probes")
+    bare = units.where("place = ''")
+    near = bare.select("id", "type", F.explode(F.array_distinct(F.split("spelling", " "))).alias("t")).join(near_tokens(units), ["type", "t"])
+    near = near.groupBy("id").agg(F.collect_list(F.struct("t", "near")).alias("near"))
+    schema, columns = "shard string, id bigint, spelling string, place string", ("type", "id", "spelling", "place", "near")
+    held = materialize(units.withColumn("near", F.lit(None).cast("array<struct<t:string,near:array<string>>>")).select(*columns).mapInArrow(_pair_shards, schema), "held")
+    sizes = held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_units)).cast("int").alias("blocks"))
+    asked = spread(bare.join(near, "id").select(*columns)).mapInArrow(_pair_shards, schema)
+    asked = materialize(asked.join(sizes, "shard"), "asked")
+    held = held.join(asked.select("shard", "blocks").distinct(), "shard").withColumn("block", F.pmod("id", "blocks").cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = lambda df, probes: df.select(
+        F.concat_ws("\x01", "shard", "block").alias("shard"), "id", "spelling", "place", F.lit(None).cast("array<string>").alias("keys"), F.lit(not probes).alias("indexed"), F.lit(probes).alias("probes")
     )
-    return rows.join(rows.where("probes").select("shard").distinct(), "shard", "left_semi")
+    return row(held, False).unionByName(row(asked, True))
 
 
 def _run(shards: DataFrame) -> DataFrame:
@@ -284,7 +374,7 @@ def _run(shards: DataFrame) -> DataFrame:
 def same_entity_links(units: DataFrame, shard_units: int = 2_000) -> DataFrame:
     """(a, b) ids of units taken for the same entity."""
     placed = _run(_by_place(units, shard_units)).select("a", "b")
-    loose = materialize(_run(_by_tokens(units)).distinct(), "loose")
+    loose = materialize(_run(_by_alike(units, shard_units)).distinct(), "loose")
     both = loose.where("a_place = '' and b_place = ''").select("a", "b")
     # one side has no place: it joins the closest units, if these are all of one place
     side = loose.where("(a_place = '') <> (b_place = '')").select(
@@ -302,7 +392,7 @@ def link_spellings(extractions: DataFrame, types: tuple[str, ...] = ("Person", "
     A spelling that two entities share (its descriptions name several places) has one row for each. Other types, blank names
     and names without a letter or digit have none; null descriptions say nothing; repeated rows change nothing.
     """
-    units = with_keys(spelling_units(extractions, types))
+    units = spelling_units(extractions, types)
     links = materialize(same_entity_links(units, shard_units), "links")
     labels = min_labels(links).select(F.col("a").alias("id"), F.col("b").alias("root"))
     return units.join(labels, "id", "left").select("type", "spelling", F.coalesce("root", "id").alias("entity")).distinct()

@@ -126,3 +126,22 @@ def test_common_tokens_are_looked_up_in_a_place(spark):
     rows = [(f"{g} Smithsonia", "Person", f"Envoy, At{g}.") for g in others]
     rows += [("Johnathan Smithsonia", "Person", "Censor, Nagobogin."), ("Joh Smithsonia", "Person", "Censor, Nagobogin."), ("D Botrukil", "Person", "Envoy, Traferelu."), ("D Obtruikl", "Person", "Envoy, Traferelu.")]
     assert linked(spark, rows) == {("Person", "joh smithsonia", "johnathan smithsonia"), ("Person", "d botrukil", "d obtruikl")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", min_size=4, max_size=40), st.lists(st.tuples(st.sampled_from("dsix"), st.integers(0, 40)), max_size=2))
+def test_tokens_spelt_alike_share_a_key(token, edits):
+    other = token
+    for what, i in edits:
+        i %= len(other)
+        other = {"d": other[:i] + other[i + 1 :], "s": other[:i] + "c" + other[i + 1 :], "i": other[:i] + "c" + other[i:], "x": other[:i] + other[i : i + 2][::-1] + other[i + 2 :]}[what]
+    k = nv.bound_of(min(token, other, key=len))
+    if nv.distance(token, other, k) <= k:
+        assert nv.neighbourhood(token, True) & nv.neighbourhood(other, False) and nv.neighbourhood(other, True) & nv.neighbourhood(token, False)
+
+
+def test_undescribed_spelling_needs_no_equal_token(spark):
+    rows = [("Acadmia", "Organization", None), ("Academia", "Organization", "Seated at Nagobogin."), ("Restivor Dozosinimius Vubepans", "Person", None), ("Resitvor Dozosinimis Vubepanus", "Person", "Censor, Traferelu."), ("Q Zeedubelalius Degitotor", "Person", ""), ("Quorvain Zedubelalius Degitoetor", "Person", None)]
+    want = {("Organization", "academia", "acadmia"), ("Person", "resitvor dozosinimis vubepanus", "restivor dozosinimius vubepans"), ("Person", "q zeedubelalius degitotor", "quorvain zedubelalius degitoetor")}
+    assert linked(spark, rows) == want
+    assert linked(spark, rows, shard_units=1) == want
