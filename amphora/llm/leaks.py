@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -124,7 +125,8 @@ class Items:
                 maybe = np.zeros(1 << 20, bool)
                 maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
                 self.tables.append((key[order], owner[order], offset[order], maybe))
-        self.pairs = [set(_bigrams(h)) for h in self.hashed]
+        self.pairs = [Counter(_bigrams(h)) for h in self.hashed]
+        self.distinct = [set(c) for c in self.pairs]
 
     def candidates(self, texts: list[list[int]]) -> list[tuple[int, int, int]]:
         """(text, item, shift): windows that share a key; shifts are rounded to half windows."""
@@ -184,6 +186,11 @@ def _scan(rows: list[tuple[int, str]], walks: Walks, share: float, batch_words:
         ids: list[int] = []
         texts: list[list[int]] = []
 
+        def enough(i: int, bigrams: list[int]) -> bool:
+            """No passage without that covers the share: six of seven covered words match, and runs of two words or more hold a pair for every two."""
+            shared = items.distinct[i].intersection(bigrams)
+            return sum(items.pairs[i][p] for p in shared) >= 3 / 7 * share * len(items.hashed[i]) - 1e-9
+
         def flush() -> pa.RecordBatch:
             near: dict[tuple[int, int], list[int]] = {}
             for t, i, s in items.candidates(texts):
@@ -196,9 +203,7 @@ def _scan(rows: list[tuple[int, str]], walks: Walks, share: float, batch_words:
                 for s in sorted(set(shifts)):
                     lo = max(0, (s - 1) * w - len(item) // 8)
                     hi = (s + 2) * w + len(item) * 5 // 4
-                    # a passage that covers the share has at least half as many of the item's pairs of words
-                    shared = len(items.pairs[i].intersection(bigrams[lo : max(hi - 1, 0)]))
-                    if shared >= 0.48 * share * len(item) and coverage(item, text[lo:hi]) >= share:
+                    if enough(i, bigrams[lo : max(hi - 1, 0)]) and coverage(item, text[lo:hi]) >= share:
                         out.add((ids[t], items.ids[i]))
                         break
             ids.clear()

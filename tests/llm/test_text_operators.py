@@ -176,3 +176,10 @@ def test_personal(spark):
 def test_vote_posteriors():
     p = pi.vote_posteriors("phone", {"++0000": 100, "000--0": 80, "000000": 5})
     assert p["++0000"] > 0.9 > 0.1 > p["000--0"]
+
+
+def test_leak_of_a_refrain(spark):
+    refrain = " ".join(f"word{i}" for i in range(10))
+    df = spark.createDataFrame([(1, "before it " + " ".join([refrain] * 8) + " after it")], "doc_id bigint, text string")
+    it = spark.createDataFrame([(7, " ".join([refrain] * 8))], "item_id bigint, text string")
+    assert [tuple(r) for r in leaks.leaked_items(df, it).collect()] == [(1, 7)]
