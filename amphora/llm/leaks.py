@@ -4,7 +4,7 @@ Method. A window of words is embedded by the CGK random walk: at every step the
 pointer and moves on or stays by a random bit of (step, word), so that windows a few word edits apart are a few
 positions apart in Hamming distance. Keys sampled from those positions (several walks, several samples each) find
 windows of documents that may repeat a window of an item; the passage is then aligned exactly and kept if it
-covers at least half of the item's words in connected stretches.
+covers at least half of the item's words in connected stretches; passages far apart in a document count together.
 
 Scale. Documents are only mapped: no shuffle, so copies and long texts cost their words and nothing else. Windows
 start at every word of whole texts; an item's windows start at every word too, so a passage may begin anywhere. The
@@ -200,12 +200,22 @@ def _scan(rows: list[tuple[int, str]], walks: Walks, share: float, batch_words:
                 item, text, w = items.hashed[i], texts[t], walks.window
                 if t != of:
                     of, bigrams = t, _bigrams(text)
+                regions: list[list[int]] = []
                 for s in sorted(set(shifts)):
                     lo = max(0, (s - 1) * w - len(item) // 8)
                     hi = (s + 2) * w + len(item) * 5 // 4
                     if enough(i, bigrams[lo : max(hi - 1, 0)]) and coverage(item, text[lo:hi]) >= share:
                         out.add((ids[t], items.ids[i]))
                         break
+                    if regions and lo <= regions[-1][1]:
+                        regions[-1][1] = hi
+                    else:
+                        regions.append([lo, hi])
+                else:
+                    # stretches far apart count together, in the item's order; the numbers between keep them apart
+                    if len(regions) > 1 and enough(i, [g for lo, hi in regions for g in bigrams[lo : max(hi - 1, 0)]]):
+                        if coverage(item, [x for lo, hi in regions for x in (*text[lo:hi], *[-1] * 16)]) >= share:
+                            out.add((ids[t], items.ids[i]))
             ids.clear()
             texts.clear()
             return pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in out], pa.int64()), "item_id": pa.array([i for _, i in out], pa.int64())})

@@ -183,3 +183,11 @@ def test_leak_of_a_refrain(spark):
     df = spark.createDataFrame([(1, "before it " + " ".join([refrain] * 8) + " after it")], "doc_id bigint, text string")
     it = spark.createDataFrame([(7, " ".join([refrain] * 8))], "item_id bigint, text string")
     assert [tuple(r) for r in leaks.leaked_items(df, it).collect()] == [(1, 7)]
+
+
+def test_leak_in_stretches_far_apart(spark):
+    item, own = [f"item{i}" for i in range(60)], [f"own{i}" for i in range(300)]
+    docs = [(1, item[:22] + own[:200] + item[30:52]), (2, item[30:52] + own[:200] + item[:22]), (3, item[:14] + own + item[40:54])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    it = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert [tuple(r) for r in leaks.leaked_items(df, it).collect()] == [(1, 7)]
