@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,17 +232,28 @@ def personal_spans(documents: DataFrame, fit_rows: int = 20_000, threshold: floa
     return _without_overlap(found)
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (doc_id, kind, a, b, value, p), a document's best first: those that overlap none before."""
+    doc, starts, ends = None, [], []
+    for batch in batches:
+        keep = []
+        for d, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "b")), strict=True):
+            if d != doc:
+                doc, starts, ends = d, [], []
+            k = bisect_left(starts, b)  # the spans kept so far are in order and apart, so the last to start before b ends last
+            free = k == 0 or ends[k - 1] <= a
+            if free:
+                starts.insert(k, a)
+                ends.insert(k, b)
+            keep.append(free)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _without_overlap(found: DataFrame) -> DataFrame:
-    """Of overlapping spans the most probable stays (then the longest): neighbours in a document's order are compared."""
-    from pyspark.sql import Window
-
-    found = found.distinct()
-    better = lambda o: (F.col(f"{o}.p") > F.col("p")) | ((F.col(f"{o}.p") == F.col("p")) & (F.col(f"{o}.n") > F.col("b") - F.col("a")))
-    w = Window.partitionBy("doc_id").orderBy("a", "b", "kind")
-    me = F.struct("p", (F.col("b") - F.col("a")).alias("n"), "a", "b")
-    out = found.withColumns({"prev": F.lag(me).over(w), "next": F.lead(me).over(w)})
-    lost = (F.col("prev.b") > F.col("a")) & better("prev") | (F.col("next.a") < F.col("b")) & better("next")
-    return out.where(~F.coalesce(lost, F.lit(False))).select("doc_id", "kind", "a", "b", "value", "p")
+    """Of overlapping spans the most probable stays (then the longest); a span gives way only to one that stays."""
+    rows = found.select("doc_id", "kind", "a", "b", "value", "p").repartition("doc_id")
+    best = rows.sortWithinPartitions("doc_id", F.desc("p"), F.desc(F.col("b") - F.col("a")), "a", "kind", "value")
+    return best.mapInArrow(_greedy, "doc_id bigint, kind string, a int, b int, value string, p double")
 
 
 def redact(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -191,3 +191,10 @@ def test_leak_in_stretches_far_apart(spark):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
     it = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
     assert [tuple(r) for r in leaks.leaked_items(df, it).collect()] == [(1, 7)]
+
+
+def test_overlaps_give_way_to_what_stays(spark):
+    chain = [("name", 1, 0, 10, "A", 0.9), ("name", 1, 8, 20, "B", 0.8), ("name", 1, 18, 30, "C", 0.7)]
+    inside = [("address", 2, 0, 50, "A", 0.9), ("phone", 2, 5, 10, "B", 0.6), ("name", 2, 20, 30, "C", 0.5), ("name", 2, 50, 60, "D", 0.5), ("address", 2, 0, 50, "A", 0.9)]
+    df = spark.createDataFrame(chain + inside, "kind string, doc_id bigint, a int, b int, value string, p double")
+    assert sorted((r.doc_id, r.value) for r in pi._without_overlap(df).collect()) == [(1, "A"), (1, "C"), (2, "A"), (2, "D")]
