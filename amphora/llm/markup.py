@@ -242,7 +242,7 @@ def render(node: Node, least: float) -> str:
 
 def clean_markup(text: str) -> tuple[str, list[str]]:
     """(clean text, sorted languages found)."""
-    if not any(c in text for c in "<&{[\\$*_`#=|'>~-"):
+    if not any(c in text for c in "<&{[\\$*_`#=|'>~-+"):
         return text.strip(), []
     p = _Parser(text.replace("\ue000", "").replace("\ue001", ""))
     p.code()

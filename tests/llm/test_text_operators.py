@@ -198,3 +198,7 @@ def test_overlaps_give_way_to_what_stays(spark):
     inside = [("address", 2, 0, 50, "A", 0.9), ("phone", 2, 5, 10, "B", 0.6), ("name", 2, 20, 30, "C", 0.5), ("name", 2, 50, 60, "D", 0.5), ("address", 2, 0, 50, "A", 0.9)]
     df = spark.createDataFrame(chain + inside, "kind string, doc_id bigint, a int, b int, value string, p double")
     assert sorted((r.doc_id, r.value) for r in pi._without_overlap(df).collect()) == [(1, "A"), (1, "C"), (2, "A"), (2, "D")]
+
+
+def test_plus_list_alone_is_markup():
+    assert mk.clean_markup("+ one\n+ two") == ("• one\n• two", ["markdown"])
