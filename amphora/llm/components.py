@@ -2,9 +2,10 @@
 
 Method. Nodes get dense-ordered ids by a range-partitioned sort on (name, type), so the smallest id of a group is its
 smallest node. Every edge partition runs union-find and keeps only its spanning forest (node -> smallest node). The
-forests are merged in ever fewer partitions of at most ``bound`` edges. While the forest is larger than one
-bounded partition, a contraction round hooks every node to its smallest neighbour and goes on with the hooked
-nodes only, so that no task ever holds more than ``bound`` edges however large the graph is.
+forests are merged upwards: each level scatters the edges that are left over partitions of at most ``bound`` edges, runs union-find in each
+and contracts the spanning forests by one step of random hooking, which halves the nodes in expectation, on a chain as on a star. When one
+partition holds what is left, its union-find gives the global components, and the levels are unfolded. There are about log2(edges / bound)
+levels, and no task ever holds more than ``bound`` edges.
 
 Scale. Ids are longs; repeated pairs vanish before the ids are joined; a hub with a third of all edges is
 spread over partitions by its edges' hash, and its minimum is a partial aggregate. Nothing is collected but counts.
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amphora.session import forget, materialize
+from amphora.operators.components import shrink, unfold
+from amphora.session import materialize
 
 _EDGE = "a bigint, b bigint"
 
@@ -73,28 +75,12 @@ def forest(edges: DataFrame, step: int = 500_000) -> DataFrame:
 
 def min_labels(edges: DataFrame, bound: int = 2_000_000) -> DataFrame:
     """(a, b): every node that isn't the smallest of its component, with that smallest. Edges are pairs of longs."""
-    level = materialize(forest(edges.select("a", "b")), "forest")
-    hooks: list[DataFrame] = []
-    while (n := level.count()) > bound:
-        parts = -(-n // bound)
-        level = materialize(forest(level.repartition(parts * 2, F.xxhash64("a", "b"))), "forest")
-        both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "hook")
-        ha, hb = hook.select("a", F.col("m").alias("ma")), hook.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        nxt = (
-            level.join(ha, "a").join(hb, "b").where("ma <> mb")
-            .select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")).distinct()
-        )
-        hooks.append(hook)
-        done, level = level, materialize(nxt, "contracted")
-        forget(done)
-    labels = forest(level.repartition(1), max(bound, 1)) if n else level  # at most ``bound`` edges
-    for hook in reversed(hooks):
-        deeper = labels.select(F.col("a").alias("m"), F.col("b").alias("deep"))
-        labels = materialize(
-            hook.join(deeper, "m", "left").select("a", F.coalesce("deep", "m").alias("b")).where("a <> b"), "labels"
-        )
-    return labels
+    scattered = lambda e, parts: forest(e.repartition(parts, F.xxhash64("a", "b")))
+    rest, levels = shrink(forest(edges.select("a", "b").where("a <> b")), bound, scattered)
+    labels = forest(rest.repartition(1), bound)  # at most ``bound`` edges
+    if not levels:
+        return labels
+    return unfold(labels.toDF("id", "label"), levels).where("id <> label").toDF("a", "b")
 
 
 def decision_nodes(resolutions: DataFrame) -> DataFrame:

@@ -173,3 +173,16 @@ def test_true_values_against_brute_force(spark):
     assert got.keys() == p.keys() and all(abs(got[k] - p[k]) < 1e-9 for k in p)
     assert all(p[g, "v0"] > 0.5 for g in range(12) if (g, "v0") in p and p[g, "v0"] > 0.9)
     assert surv.true_values(df.limit(0)).count() == 0
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    import math
+
+    from amphora.operators import components as core
+
+    levels, plain = [], core.contract
+    monkeypatch.setattr(core, "contract", lambda links, level: levels.append(level) or plain(links, level))
+    n = 20_000
+    out = comp.min_labels(spark.range(n - 1).selectExpr("id + 1 as a", "id as b"), 500)
+    assert out.selectExpr("count(*)", "max(b)").first()[:] == (n - 1, 0)
+    assert 0 < len(levels) <= 2 * math.log2(n)
