@@ -48,8 +48,9 @@ def test_vector_edges(spark):
 
 def test_traversal_order():
     d1, d2 = np.array([0.0, 1.0, 5.0]), np.array([0.0, 3.0])
-    counts = np.array([[1, 1], [1, 1], [1, 1]])
-    assert nb.traverse(d1, d2, counts, 1) == [0] and nb.traverse(d1, d2, counts, 2) == [0, 1] and nb.traverse(d1, d2, counts, 99) == [0, 1, 2]
+    walk = [(0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (2, 1)]  # summed distances 0, 1, 3, 4, 5, 8
+    assert all(nb.traverse(d1, d2, [[1, 1], [1, 1], [1, 1]], n) == walk[:n] for n in range(1, 7))
+    assert nb.traverse(d1, d2, [[1, 0], [1, 1], [1, 1]], 3) == [(0, 0), (1, 0), (1, 1)]
 
 
 def plain(a, b):
@@ -145,3 +146,33 @@ def test_undescribed_spelling_needs_no_equal_token(spark):
     want = {("Organization", "academia", "acadmia"), ("Person", "resitvor dozosinimis vubepanus", "restivor dozosinimius vubepans"), ("Person", "q zeedubelalius degitotor", "quorvain zedubelalius degitoetor")}
     assert linked(spark, rows) == want
     assert linked(spark, rows, shard_units=1) == want
+
+
+def test_tiles_hold_every_cell_once():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 9, (17, 11))
+    counts[3, 3] = 500
+    tile, blocks = nb.tiles(counts, 40)
+    sums = np.bincount(tile.ravel(), counts.ravel(), len(blocks))
+    assert (sums[blocks == 1] <= 40).all() and blocks[tile[3, 3]] == 13 and (tile == tile[3, 3]).sum() == 1
+
+
+def test_walk_is_in_order_of_distance():
+    rng = np.random.default_rng(5)
+    d1, d2, counts = rng.random(9), rng.random(7), rng.integers(0, 3, (9, 7))
+    cells = nb.traverse(d1, d2, counts.tolist(), 10**9)
+    assert cells == sorted(cells, key=lambda c: d1[c[0]] + d2[c[1]]) and set(cells) == set(zip(*map(list, np.nonzero(counts)), strict=True))
+    some = nb.traverse(d1, d2, counts.tolist(), 12)
+    assert some == cells[: len(some)] and sum(counts[c] for c in some[:-1]) < 12 <= sum(counts[c] for c in some)
+
+
+def test_exact_and_small_cells(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id bigint, vector array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u.astype(np.float64) @ u.T.astype(np.float64)
+    np.fill_diagonal(s, -9)
+    want = {(min(q, int(e)), max(q, int(e))) for q in range(600) for e in np.argsort(-s[q])[:5]}
+    got = {(r.a, r.b) for r in nb.similar_pairs(df, enough=10, shard_rows=50, exact=True, cells=8).collect()}
+    assert got == want
