@@ -15,7 +15,7 @@ def count_levels(monkeypatch):
 
 
 def test_ascending_chain(spark, monkeypatch):
-    levels, n, bound = count_levels(monkeypatch), 100_000, 1_000
+    levels, n, bound = count_levels(monkeypatch), 100_000, 4_000
     out = components.component_labels(spark.range(n - 1).selectExpr("id as a", "id + 1 as b"), bound)
     assert out.selectExpr("count(*)", "max(label)").first()[:] == (n, 0)
     assert 0 < len(levels) <= 2 * math.log2(n)

@@ -214,7 +214,7 @@ def test_dense_order(spark):
     assert ordering.dense_order(df.limit(0), ["x"]).count() == 0
 
 
-@pytest.mark.parametrize("bound", [3, 1000])
+@pytest.mark.parametrize("bound", [12, 1000])
 def test_components(spark, bound):
     links = [("a", "b"), ("b", "c"), ("x", "y"), ("z", "z")] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(30)]
     got = {r.id: r.label for r in component_labels(spark.createDataFrame(links, "a string, b string"), bound).collect()}
