@@ -116,29 +116,60 @@ def test_wanted_tokens():
     assert mixing.wanted_tokens({}, {"a": 1.0}, {"a": 1}, None) == {}
 
 
+def deviation(rows, weights):
+    """The largest distance of a source from its share after any slot, in blocks."""
+    by_slot = defaultdict(Counter)
+    for r in rows:
+        by_slot[r.slot][r.source] += r.n_tokens
+    size = {sum(c.values()) for c in by_slot.values()}
+    assert len(size) == 1 and sorted(by_slot) == list(range(len(by_slot)))  # full blocks, no slot empty
+    seen, worst, w = Counter(), 0.0, sum(weights.values())
+    for t in range(len(by_slot)):
+        assert len(by_slot[t]) == 1
+        seen.update(by_slot[t])
+        worst = max([worst, *(abs(seen[s] - x / w * (t + 1) * min(size)) / min(size) for s, x in weights.items())])
+    return worst
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mix_of_the_tables_stays_within_a_block(spark, sf):
+    from pathlib import Path
+
+    if not Path(f"/root/testdata/{sf}").exists():
+        pytest.skip("test tables are not here")
+    docs, targets = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), spark.read.parquet(f"/root/testdata/{sf}/mix_targets.parquet")
+    there = {r.source for r in docs.where("text is not null and trim(text) <> ''").select("source").distinct().collect()}
+    weights = {r.source: r.target_share for r in targets.collect() if r.source in there}
+    out = mixing.mix(docs, targets).collect()
+    assert deviation(out, weights) < 1
+    most = {r.source: r.max_repeats for r in targets.collect()}
+    assert all(r.copy < most[r.source] for r in out)
+
+
 def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, "abc"[i % 3] if i % 7 else "a", " ".join(rng.choice(["road", "stone", "river"]) for _ in range(rng.randrange(5, 40))), 1) for i in range(600)]
     rows += [(9001, None, "x", 1), (9002, "a", None, 1), (9003, "a", " ", 1), (None, "a", "x y", 1), (9004, "zz", "no target", 1), (0, *rows[0][1:])]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, slot bigint")
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 4), ("c", 0.2, 2), ("none", 0.1, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    out = mixing.mix(docs, targets, slots=200).collect()
+    out = mixing.mix(docs, targets, slots=200, block_tokens=16).collect()
     tokens = defaultdict(int)
     for r in out:
         tokens[r.source] += r.n_tokens
     total = sum(tokens.values())
     assert all(abs(tokens[s] / total - x / 0.9) < 0.02 for s, x in (("a", 0.2), ("b", 0.5), ("c", 0.2)))
-    uses = Counter((r.source, r.doc_id) for r in out)
-    assert all(n <= {"a": 1, "b": 4, "c": 2}[s] for (s, _), n in uses.items()) and len({(r.doc_id, r.copy) for r in out}) == len(out)
+    uses = Counter((r.source, r.doc_id) for r in {(r.source, r.doc_id, r.copy): r for r in out}.values())
+    assert all(n <= {"a": 1, "b": 4, "c": 2}[s] for (s, _), n in uses.items()) and len({(r.doc_id, r.copy, r.first_token) for r in out}) == len(out)
     assert not {r.doc_id for r in out} & {9001, 9002, 9003, 9004, None}
-    # blocks are spread: after each tenth of the slots the shares hold
-    for cut in range(40, 201, 20):
-        part = defaultdict(int)
-        for r in out:
-            if r.slot < cut:
-                part[r.source] += r.n_tokens
-        assert abs(part["b"] / sum(part.values()) - 0.5 / 0.9) < 0.08
-    got = {r.source: r for r in mixing.shares(mixing.mix(docs, targets, slots=200), targets.where("source is not null")).collect()}
+    assert deviation(out, {"a": 0.2 / 0.9, "b": 0.5 / 0.9, "c": 0.2 / 0.9}) < 1
+    # the pieces of a copy follow each other
+    pieces = defaultdict(list)
+    for r in out:
+        pieces[r.doc_id, r.copy].append((r.first_token, r.n_tokens))
+    for p in pieces.values():
+        p.sort()
+        assert p[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(p, p[1:]))
+    got = {r.source: r for r in mixing.shares(mixing.mix(docs, targets, slots=200, block_tokens=16), targets.where("source is not null")).collect()}
     assert got["none"].tokens == 0 and got["b"].most_uses <= 4
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
