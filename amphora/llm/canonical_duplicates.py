@@ -5,9 +5,10 @@ are byte prefixes; a prefix that holds more than ``bucket_rows`` rows is split b
 fits. Each bucket is counted in a trie whose terminal counters hold the number of stored names, their copies and
 the smallest name.
 
-Scale. Copies collapse before the first shuffle. The driver sees only the oversized prefixes (at most
-rows/bucket_rows per depth, and ``bucket_rows`` grows so that this stays below 2,000). Bytes can't split a bucket
-whose rows are all one key; such a bucket is split by a salt of the stored name, its tries are merged by
+Scale. Copies collapse before the first shuffle. A bucket holds at most ``bucket_rows`` rows however large the table is. The oversized
+prefixes of a depth are a table (at most rows/bucket_rows of them), joined to the rows that are still open; nothing but the number of
+open rows reaches the driver, and only rows of oversized prefixes go on to the next depth. Bytes can't split a bucket
+whose rows are all one key; such a bucket is split by a salt of the stored name, as many ways as its rows need, its tries are merged by
 key, and the members find their record through the same salted cells, so a key holding a third of all rows is never
 in one task.
 """
@@ -24,7 +25,7 @@ from amphora.session import blank, materialize
 
 _BURST = 32
 _OUT = "cell string, key string, kept string, names bigint, copies bigint"
-_DEPTHS = ((1, 2, 3, 4), (6, 8, 10, 12), (16, 20, 24, 32), (48, 64, 96, 128))
+_DEPTHS = (1, 2, 4, 6, 8, 12, 16, 24, 32, 64, 128)  # bytes of a prefix; the last resort is the whole key
 
 
 class Trie:
@@ -123,37 +124,24 @@ def _prefix(depth: int) -> F.Column:
 
 def radix_cells(rows: DataFrame, bucket_rows: int) -> DataFrame:
     """Add ``cell``: the shortest prefix of ``key`` that fits, or the whole key and a salt where a single key doesn't."""
-    total = rows.count()
-    limit = max(bucket_rows, total // 2000)
-    cell, open_, hot, salts = F.lit(""), None, [], 1
-    if total > limit:
-        whens, todo = [], rows
-        for depths in _DEPTHS:
-            found = (
-                todo.select(F.explode(F.array(*[F.struct(F.lit(d).alias("d"), _prefix(d).alias("p")) for d in depths])).alias("x"))
-                .groupBy("x.d", "x.p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()
-            )  # at most total/limit prefixes a depth
-            over = {d: {r.p: r.n for r in found if r.d == d} for d in depths}
-            for d in depths:
-                ended = {p: n for p, n in over[d].items() if len(p) < 2 * d}  # the key ended: more bytes can't split it
-                hot += [p for p in ended if p not in hot]
-                salts = max([salts, *(-(-n // limit) for n in ended.values())])
-                whens.append((d, [p for p in over[d] if p not in ended]))
-            open_ = whens[-1][1]
-            if not open_:
-                break
-            todo = todo.where(_prefix(depths[-1]).isin(open_))
-        if open_:  # longer than the last depth: one key's bytes are as good as any
-            whole = rows.where(_prefix(_DEPTHS[-1][-1]).isin(open_)).groupBy("key").count().where(F.col("count") > limit).collect()
-            salts = max([salts, *(-(-r["count"] // limit) for r in whole)])
-            hot += [r["key"].encode().hex().upper() for r in whole]
-        cell = F.hex(F.encode("key", "utf-8")) if open_ else _prefix(whens[-1][0])
-        for d, over_d in reversed(whens):
-            cell = F.when(~_prefix(d).isin(over_d) if over_d else F.lit(True), _prefix(d)).otherwise(cell)
-        if hot:
-            salt = F.when(F.hex(F.encode("key", "utf-8")).isin(hot), F.concat(F.lit("#"), F.pmod(F.xxhash64("name"), F.lit(salts)).cast("string"))).otherwise("")
-            cell = F.concat(cell, salt)
-    return rows.withColumn("cell", cell)
+    if rows.count() <= bucket_rows:
+        return rows.withColumn("cell", F.lit(""))
+    columns, open_, ready = rows.columns, rows, None
+    for depth in (*_DEPTHS, None):
+        prefix = F.hex(F.encode("key", "utf-8")) if depth is None else _prefix(depth)
+        here = open_.withColumn("p", prefix)
+        over = here.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+        marked = materialize(here.join(over, "p", "left"), "radix")
+        # a prefix shorter than its depth is a key that ended: its rows are all one key
+        whole = F.lit(True) if depth is None else F.length("p") < 2 * depth
+        salt = F.concat(F.lit("#"), F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / F.lit(bucket_rows))).cast("string"))
+        done = marked.where(F.col("n").isNull() | whole).withColumn("cell", F.when(F.col("n").isNull(), F.col("p")).otherwise(F.concat("p", salt)))
+        done = done.select(*columns, "cell")
+        ready = done if ready is None else ready.unionByName(done)
+        open_ = marked.where(F.col("n").isNotNull() & ~whole).select(*columns)
+        if open_.isEmpty():
+            break
+    return ready
 
 
 def collapse_formatting(extractions: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
