@@ -233,3 +233,32 @@ def test_overlaps_give_way_to_what_stays(spark):
 
 def test_plus_list_alone_is_markup():
     assert mk.clean_markup("+ one\n+ two") == ("• one\n• two", ["markdown"])
+
+
+@pytest.mark.parametrize(("words", "edits"), [(1, 0), (2, 0), (3, 0), (6, 0), (6, 1), (8, 0), (10, 1), (12, 1), (20, 2), (40, 4), (80, 8)])
+def test_leaks_of_items_of_any_length(words, edits):
+    import pyarrow as pa
+
+    rng = random.Random(words)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=words))) for i in range(100)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for k in rng.sample(range(words), edits):
+            w[k] = rng.choice(vocabulary)
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(20, 80)) + w + rng.choices(vocabulary, k=rng.randrange(20, 80))))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(100), pa.int64()), "text": texts})
+    got = {(d, i) for b in leaks._scan(items, (4, 4, 6), 0.5, 200_000)(iter([batch])) for d, i in zip(*b.to_pydict().values(), strict=True)}
+    assert sum((i, i) in got for i in range(100)) >= 95
+
+
+def test_common_words_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        assert leaks.common_words(leaks.places_of(a), len(a), b) == rows[-1][-1]
