@@ -2,12 +2,13 @@
 
 Method. A text is parsed into a DOM: HTML elements nest, and constructs of wiki, Markdown and LaTeX become nodes of the same
 tree. Every node has its composite text density (characters per tag, adjusted by the share of link characters); the densities
-of a node's children are summed, and the subtree with the greatest sum is the content. Blocks inside it whose density is
-below the lowest on the path from the body to it, and that are mostly links, are menus and go. What the
+of a node's children are summed, and the subtree with the greatest sum is the content. The least density on the path from the body to it
+is the threshold: blocks below it that are mostly links are menus and go, everything else stays. What the
 parser consumed says which languages a text holds.
 
-Kept: headings and paragraphs as lines, list items with a bullet, table cells divided by tabs, code
-indented by four blanks, formulas as plain mathematics. Ordinary signs in prose (a < b, $12, [sic], 3 * 5, names_with_lines)
+Kept: headings as lines that begin with a section sign, paragraphs, list items with a bullet, table cells divided by tabs, code
+indented by four blanks, captions, the text that templates wrap, formulas in plain notation (brackets around what was grouped, rows of a matrix
+divided by semicolons, commands without a plain sign as TeX). Ordinary signs in prose (a < b, $12, [sic], 3 * 5, names_with_lines)
 are no constructs, as every construct needs its closing part or its place in the line.
 
 Scale. One map over the texts, whole texts always; no shuffle but the distinct of the found kinds.
@@ -32,7 +33,15 @@ _TAGS = set(
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
 _BLOCK = {"p", "div", "ul", "ol", "li", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "nav", "aside", "header", "footer", "blockquote", "pre", "dl", "dt", "dd", "figure", "body", "main", "form"}
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*)\s*(/?)>", re.DOTALL)
-_GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "pi": "π", "sigma": "σ", "lambda": "λ", "mu": "μ", "theta": "θ", "times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "sum": "Σ", "infty": "∞"}
+# fixed values: signs of TeX commands; commands that only set the look; templates that wrap no text of the article; options of pictures
+_SIGNS = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "phi": "φ", "omega": "ω",
+    "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω", "times": "×", "cdot": "·", "div": "÷", "pm": "±", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠", "approx": "≈", "equiv": "≡", "sum": "Σ",
+    "prod": "∏", "int": "∫", "infty": "∞", "to": "→", "rightarrow": "→", "in": "∈", "partial": "∂", "ldots": "…", "dots": "…", "quad": " ", "left": "", "right": "", "displaystyle": "",
+}
+_LOOKS = r"\\(?:mathbf|mathrm|mathit|mathsf|mathcal|mathbb|boldsymbol|text|textrm|textbf|operatorname|vec|hat|bar|overline)\{([^{}]*)\}"
+_ASIDE = ("cite", "citation", "ref", "sfn", "efn", "cn", "fact", "main", "see also", "short description", "use ", "coord", "commons", "clear", "navbox", "stub", "dead link", "clarify", "notelist", "portal", "webarchive")
+_PICTURE = re.compile(r"thumb|thumbnail|frame|frameless|border|left|right|center|centre|none|upright.*|\d*x?\d+px|(?:alt|link|page|class|lang)=.*|mini|vignette|miniatura", re.IGNORECASE)
 
 
 class Node:
@@ -79,20 +88,29 @@ class _Parser:
         self.sub("markdown", r"(?<!`)(`{1,2})(?!`)([^`\n]+)\1(?!`)", lambda m: self.hold(m[2]))
 
     def formula(self, tex: str) -> str:
-        tex = re.sub(r"\\frac\{((?:[^{}]|\{[^{}]*\})*)\}\{((?:[^{}]|\{[^{}]*\})*)\}", r"(\1) / (\2)", tex)
-        tex = re.sub(r"\\sqrt\{([^{}]*)\}", r"√(\1)", tex)
-        tex = re.sub(r"\\([a-zA-Z]+)", lambda m: _GREEK.get(m[1], m[1]), tex)
-        return self.hold(re.sub(r"[{}]", "", tex).strip())
+        group = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
+        bare = lambda x: x if re.fullmatch(r"\w|\d+", x) else f"({x})"
+        rows = lambda m: "[" + "; ".join(", ".join(c.strip() for c in r.split("&")) for r in m[2].split("\\\\") if r.strip()) + "]"
+        for _ in range(3):  # groups nest
+            tex = re.sub(_LOOKS, r"\1", tex)
+            tex = re.sub(r"\\frac" + group + group, lambda m: f"{bare(m[1])} / {bare(m[2])}", tex)
+            tex = re.sub(r"\\sqrt" + group, r"√(\1)", tex)
+        tex = re.sub(r"\\begin\{([a-z]*matrix|array|cases)\}(?:\{[^{}]*\})?(.*?)\\end\{\1\}", rows, tex, flags=re.S)
+        for _ in range(3):
+            tex = re.sub(r"([\^_])\{([^{}]*)\}", lambda m: m[1] + bare(m[2]), tex)
+        tex = re.sub(r"\\([a-zA-Z]+)", lambda m: _SIGNS.get(m[1], m[0]), tex)
+        tex = tex.replace("\\,", " ").replace("\\;", " ").replace("\\!", "").replace("\\\\", "; ").replace("&", "")
+        return self.hold(tex.strip() if re.search(r"\\[a-zA-Z]+\{", tex) else re.sub(r"[{}]", "", tex).strip())
 
     def latex(self) -> None:
         self.sub("latex", r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", lambda m: self.formula(m[1] or m[2] or m[3]), re.S)
         self.sub("latex", r"(?<![\\$\w])\$(?!\s)([^$\n]*(?:\\[a-zA-Z]|[\^_]\{?\w|[a-zA-Z]\s?[=<>+])[^$\n]*?)(?<!\s)\$(?![\d$])", lambda m: self.formula(m[1]))
-        self.sub("latex", r"\\begin\{(equation|align|displaymath)\*?\}(.*?)\\end\{\1\*?\}", lambda m: self.formula(m[2]), re.S)
+        self.sub("latex", r"\\begin\{(equation|align|displaymath)\*?\}(.*?)\\end\{\1\*?\}", lambda m: self.formula(re.sub(r"\\label\{[^{}]*\}", "", m[2])), re.S)
         self.sub("latex", r"\\begin\{tabular\}(?:\{[^{}]*\})?(.*?)\\end\{tabular\}", lambda m: "\n" + "\n".join(re.sub(r"\s*&\s*", "\t", x).strip() for x in m[1].replace("\\hline", "").split("\\\\")) + "\n", re.S)
         self.sub("latex", r"^[ \t]*\\(?:begin|end)\{[a-zA-Z*]+\}(?:\[[^\]\n]*\])?[ \t]*\n?", "", re.M)
         self.sub("latex", r"\\(?:begin|end)\{[a-zA-Z*]+\}", "")
         self.sub("latex", r"^[ \t]*\\item(?:\[([^\]\n]*)\])?[ \t]*", "• ", re.M)
-        self.sub("latex", r"\\(?:sub)*(?:section|paragraph|chapter)\*?\{([^{}]*)\}", r"\n\1\n")
+        self.sub("latex", r"\\(?:sub)*(?:section|paragraph|chapter)\*?\{([^{}]*)\}", r"\n§ \1\n")
         self.sub("latex", r"[~ ]?\\(?:cite[a-z]*|ref|label|pageref|index)(?:\[[^\]]*\])?\{[^{}]*\}", "")
         self.sub("latex", r"\\footnote\{((?:[^{}]|\{[^{}]*\})*)\}~?", r" (\1)")
         for _ in range(3):
@@ -106,19 +124,34 @@ class _Parser:
         self.sub("wiki", r"^\{\|.*?^\|\}", lambda m: "\n" + self.table(m[0]) + "\n", re.M | re.S)
         for _ in range(4):  # templates nest
             self.sub("wiki", r"\{\{([^{}]*)\}\}", lambda m: self.template(m[1]))
-        self.sub("wiki", r"\[\[(?:File|Image|Category|Datei|Fichier|Immagine|Kategorie|Catégorie):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]\n?", "", re.I)
+        self.sub("wiki", r"\[\[(?:File|Image|Category|Datei|Fichier|Immagine|Kategorie|Catégorie):([^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*)\]\]\n?", lambda m: self.caption(m[0], m[1]), re.I)
         self.sub("wiki", r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]+)\]\]", r"\1")
         self.sub("wiki", r"\[https?://\S+ ([^\[\]\n]+)\]", r"\1")
-        self.sub("wiki", r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$", r"\2", re.M)
+        self.sub("wiki", r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$", r"§ \2", re.M)
         self.sub("wiki", r"'{5}(.+?)'{5}|'''(.+?)'''|(?<!')''(?!')(.+?)(?<!')''(?!')", lambda m: m[1] or m[2] or m[3])
         self.sub("wiki", r"^(?:[*#] ?\S[^\n]*\n){1,}[*#] ?\S[^\n]*$", lambda m: re.sub(r"(?m)^[*#] ?", "• ", m[0]), re.M)
         self.sub("wiki", r"^__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__\n?", "", re.M)
 
     @staticmethod
     def template(inner: str) -> str:
+        """Rows of an infobox, the text that another template wraps (what has no name, the last part; all parts of a measure), nothing of notes."""
         name, *args = [x.strip() for x in inner.split("|")]
-        rows = [re.sub(r"\s*=\s*", "\t", a, count=1) for a in args if "=" in a]
-        return "\n".join(rows) if name.lower().startswith("infobox") else ""
+        name = name.lower()
+        if name.startswith("infobox"):
+            return "\n".join(re.sub(r"\s*=\s*", "\t", a, count=1) for a in args if "=" in a)
+        plain = [a for a in args if a and not re.match(r"[\w -]+=", a)]
+        if not plain or any(name == x.strip() or name.startswith(x + ("" if x.endswith(" ") else " ")) for x in _ASIDE) or name.startswith(("cite", "sfn", "efn")):
+            return ""
+        return " ".join(plain[:2]) if name in ("convert", "cvt") else plain[0] if "quote" in name else plain[-1]
+
+    @staticmethod
+    def caption(whole: str, inner: str) -> str:
+        """The caption of a picture as a line of its own; nothing of a category."""
+        if re.match(r"\[\[(?:Category|Kategorie|Catégorie|Categoria):", whole, re.I) or "|" not in inner:
+            return ""
+        last = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]+)\]\]", r"\1", inner)
+        last = last.split("|")[-1].strip()
+        return "" if _PICTURE.fullmatch(last) else last + "\n"
 
     @staticmethod
     def table(src: str) -> str:
@@ -133,7 +166,12 @@ class _Parser:
         self.sub("markdown", r"^\|.*\|[ \t]*\n\|(?:[ \t]*:?-+:?[ \t]*\|)+[ \t]*\n(?:\|.*\|[ \t]*(?:\n|\Z))*", lambda m: "\n".join("\t".join(c.strip() for c in x.strip().strip("|").split("|")) for x in m[0].strip().split("\n") if not re.fullmatch(r"[|:\- \t]+", x)) + "\n", re.M)
         self.sub("markdown", r"!\[([^\[\]\n]*)\]\([^()\s]+(?: \"[^\"\n]*\")?\)", r"\1")
         self.sub("markdown", r"(?<!\w)\[([^\[\]\n]+)\]\((?=[^()\s]*[./#])[^()\s]+(?: \"[^\"\n]*\")?\)", r"\1")
-        self.sub("markdown", r"^#{1,6}[ \t]+(\S[^\n]*?)[ \t#]*$", r"\1", re.M)
+        targets = {m[1].lower() for m in re.finditer(r"^ {0,3}\[([^\[\]\n]+)\]:[ \t]+\S*[./#]\S*.*$", self.text, re.M)}
+        if targets:
+            self.sub("markdown", r"!?\[([^\[\]\n]+)\] ?\[([^\[\]\n]*)\]", lambda m: m[1] if (m[2] or m[1]).lower() in targets else None)
+            self.sub("markdown", r"^ {0,3}\[([^\[\]\n]+)\]:[ \t]+\S*[./#]\S*.*\n?", "", re.M)
+        self.sub("markdown", r"^#{1,6}[ \t]+(\S[^\n]*?)[ \t#]*$", r"§ \1", re.M)
+        self.sub("markdown", r"(?:(?<=\n\n)|\A)([^\s|>#*+-][^\n|]*)\n(?:={3,}|-{3,})[ \t]*$", r"§ \1", re.M)
         self.sub("markdown", r"^(?:>[ \t]?)+(?=\S)", "", re.M)
         self.sub("markdown", r"^(?:[ \t]*[-*+] +\S[^\n]*\n)+[ \t]*[-*+] +\S[^\n]*$", lambda m: re.sub(r"(?m)^([ \t]*)[-*+] +", r"\1• ", m[0]), re.M)
         self.sub("markdown", r"(?<![\w*])\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*(?![\w*])|(?<!\w)__(?=\S)([^_\n]+?)(?<=\S)__(?!\w)", lambda m: m[1] or m[2])
@@ -213,20 +251,26 @@ def content(body: Node) -> tuple[Node, float]:
     return best[1], best[2]
 
 
-def render(node: Node, least: float) -> str:
-    out = []
+def render(node: Node, least: float, body: Node | None = None) -> str:
+    """The text of a subtree, without the menus: blocks of links less dense than the path to the content."""
+    body, out = body or node, []
     for k in node.kids:
         if isinstance(k, str):
             out.append(k)
             continue
         if k.name in ("script", "style", "head"):
             continue
-        menu = k.name in ("nav", "div", "ul", "aside", "footer", "header") and k.link_chars * 2 > k.chars and k.link_tags > 2 and composite_density(k, node) < least
+        menu = k.name in ("nav", "div", "ul", "aside", "footer", "header") and k.link_chars * 2 > k.chars and k.link_tags > 2 and composite_density(k, body or node) < least
         if menu:
             continue
-        inner = render(k, least)
+        inner = render(k, least, body)
         if k.name == "br":
             out.append("\n")
+        elif k.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            out.append("\n§ " + inner.strip() + "\n")
+        elif k.name in ("sup", "sub") and inner.strip():
+            inner = inner.strip()
+            out.append(("^" if k.name == "sup" else "_") + (inner if re.fullmatch(r"\w|\d+", inner) else f"({inner})"))
         elif k.name == "li":
             out.append("\n• " + inner.strip() + "\n")
         elif k.name in ("td", "th"):
@@ -251,10 +295,7 @@ def clean_markup(text: str) -> tuple[str, list[str]]:
     p.markdown()
     p.entities()
     body = p.dom()
-    node, least = content(body)
-    if node.chars * 2 < body.chars:  # fragments in plain prose: nothing around them is boilerplate
-        node = body
-    out = render(node, least)
+    out = render(body, content(body)[1])
     while "\ue000" in out:  # held text may hold held text
         out = re.sub("\ue000(\\d+)\ue001", lambda m: p.held[int(m[1])], out)
     out = re.sub(r"[ \t]+\n", "\n", out)

@@ -13,20 +13,25 @@ from amphora.llm import personal_info as pi
 @pytest.mark.parametrize(
     ("text", "kinds", "clean"),
     [
-        ("<h3>Roads</h3>\nText<!-- x --> and <b>bold</b> &amp; more<br/>end", ["html"], "Roads\n\nText and bold & more\nend"),
+        ("<h3>Roads</h3>\nText<!-- x --> and <b>bold</b> &amp; more<br/>end", ["html"], "§ Roads\n\nText and bold & more\nend"),
         ("<ul><li>one</li><li>two</li></ul>", ["html"], "• one\n\n• two"),
         ("<table><tr><td>a</td><td>1</td></tr></table>", ["html"], "a\t1"),
         ("<pre><code>x = 0 * 6</code></pre>", ["html"], "    x = 0 * 6"),
-        ("# Title\n\nA **bold** `word`, [link](pages/1.md).\n\n- a\n- b\n\n> said", ["markdown"], "Title\n\nA bold word, link.\n\n• a\n• b\n\nsaid"),
+        ("# Title\n\nA **bold** `word`, [link](pages/1.md).\n\n- a\n- b\n\n> said", ["markdown"], "§ Title\n\nA bold word, link.\n\n• a\n• b\n\nsaid"),
         ("```\n<b>kept</b>\n```", ["markdown"], "<b>kept</b>"),
         ("| a | b |\n|---|---|\n| 1 | 2 |", ["markdown"], "a\tb\n1\t2"),
         ("![alt](img/1.png)", ["markdown"], "alt"),
-        ("== Roads ==\n'''Via''' to [[Rome|the city]] {{cite|x={{y}}}}\n[[File:a.jpg|thumb|b]]\n* a\n* b", ["wiki"], "Roads\nVia to the city \n\n• a\n• b"),
+        ("== Roads ==\n'''Via''' to [[Rome|the city]] {{cite|x={{y}}}}\n[[File:a.jpg|thumb|b]]\n* a\n* b", ["wiki"], "§ Roads\nVia to the city \nb\n• a\n• b"),
         ('{| class="t"\n|-\n! a !! b\n|-\n| 1 || 2\n|}', ["wiki"], "a\tb\n1\t2"),
         ("{{Infobox place\n| name = Rome\n| founded = 1\n}}", ["wiki"], "name\tRome\nfounded\t1"),
-        ("\\section*{Roads}\nA \\textbf{bold} word\\footnote{See x.}~\\cite{a}: $A = \\pi r^{2} / 7$", ["latex"], "Roads\n\nA bold word (See x.): A = π r^2 / 7"),
-        ("\\[ n = \\frac{5}{x_{1} + x_{2}} \\]", ["latex"], "n = (5) / (x_1 + x_2)"),
+        ("\\section*{Roads}\nA \\textbf{bold} word\\footnote{See x.}~\\cite{a}: $A = \\pi r^{2} / 7$", ["latex"], "§ Roads\n\nA bold word (See x.): A = π r^2 / 7"),
+        ("\\[ n = \\frac{5}{x_{1} + x_{2}} \\]", ["latex"], "n = 5 / (x_1 + x_2)"),
         ("\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}", ["latex"], "• a\n• b"),
+        ("so $x^{2n}$ and $\\mathbf{v} = 2$", ["latex"], "so x^(2n) and v = 2"),
+        ("$$\\begin{matrix} a & b \\\\ c & d \\end{matrix}$$", ["latex"], "[a, b; c, d]"),
+        ("He spoke {{lang|la|senatus populusque}} and {{convert|5|km}}.{{citation needed|date=May}}", ["wiki"], "He spoke senatus populusque and 5 km."),
+        ("a<sup>2</sup> + x<sub>i+1</sub>", ["html"], "a^2 + x_(i+1)"),
+        ("Roads\n=====\n\nA [stone][1] road.\n\n[1]: http://a.example/b", ["markdown"], "§ Roads\nA stone road."),
         ("\\begin{verbatim}\n\\textbf{kept}\n\\end{verbatim}", ["latex"], "\\textbf{kept}"),
     ],
 )
