@@ -129,6 +129,38 @@ def words(name: str) -> list[str]:
     return [w for w in found if w not in _SMALL] or found
 
 
+def cheapest_pairing(costs: list[list[tuple[float, bool] | None]]) -> tuple[float, int] | None:
+    """(cost, tokens spelt alike) of the cheapest pairing of every row with a column of its own, by shortest augmenting paths; None if there is none."""
+    far, n, m = 1e6, len(costs), len(costs[0])
+    price = [[far if c is None else c[0] - 1e-6 * c[1] for c in row] for row in costs]
+    up, down, owner = [0.0] * (n + 1), [0.0] * (m + 1), [-1] * (m + 1)
+    for i in range(n):
+        owner[m], j, least, way, seen = i, m, [far * 9] * (m + 1), [m] * (m + 1), [False] * (m + 1)
+        while owner[j] != -1:
+            seen[j] = True
+            row, step, to = owner[j], far * 9, m
+            for k in range(m):
+                if not seen[k]:
+                    c = price[row][k] - up[row] - down[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < step:
+                        step, to = least[k], k
+            for k in range(m + 1):
+                if seen[k]:
+                    up[owner[k]] += step
+                    down[k] -= step
+                else:
+                    least[k] -= step
+            j = to
+        while j != m:
+            owner[j] = owner[way[j]]
+            j = way[j]
+        owner[m] = -1
+    pairs = [costs[owner[j]][j] for j in range(m) if owner[j] != -1]
+    return None if None in pairs else (sum(c for c, _ in pairs), sum(like for _, like in pairs))
+
+
 def same_name(a: list[str], b: list[str], both_placed: bool, cost_of=token_cost) -> float | None:
     """The cost of the cheapest pairing of tokens in any order, or None if the names can't be the same.
 
@@ -161,16 +193,8 @@ def same_name(a: list[str], b: list[str], both_placed: bool, cost_of=token_cost)
 
     if len(b) <= 12:
         place(0, 0, 0.0, 0)
-    else:  # very long names: greedy in order
-        used, total, alike = set(), 0.0, 0
-        for i in range(len(a)):
-            open_ = [(costs[i][j][0], j) for j in range(len(b)) if j not in used and costs[i][j] is not None]
-            if not open_:
-                return None
-            c, j = min(open_)
-            used.add(j)
-            total, alike = total + c, alike + costs[i][j][1]
-        best = [total, alike]
+    else:  # too many orders to try one by one
+        best = list(cheapest_pairing(costs) or best)
     if best[0] is None or best[1] < 1:
         return None
     if not both_placed and best[1] < min(2, len(a)):

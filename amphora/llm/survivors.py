@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amphora.llm.components import decision_nodes
-from amphora.session import blank, materialize
+from amphora.session import blank, forget, materialize
 
 
 def survivors(grouped: DataFrame, resolutions: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -52,10 +52,10 @@ def claims(grouped: DataFrame, extractions: DataFrame) -> DataFrame:
     return e.join(members, ["name", "type"]).select("group", "value", "source").distinct()
 
 
-def true_values(stated: DataFrame, rounds: int = 4, prior: float = 0.5) -> DataFrame:
+def true_values(stated: DataFrame, rounds: int = 20, prior: float = 0.5, tolerance: float = 0.005) -> DataFrame:
     """(group, value, p_true) of (group, value, source) claims by expectation-maximisation.
 
-    Beta pseudo-counts (9:1 for specificity, 1:1 for sensitivity) keep sources with few claims near the prior. Null values
+    The rounds end when no probability moves by more than ``tolerance``, at the latest after ``rounds``. Beta pseudo-counts (9:1 for specificity, 1:1 for sensitivity) keep sources with few claims near the prior. Null values
     or sources must be removed before; an empty table gives no rows.
     """
     stated = materialize(stated.select("group", "value", "source").where("value is not null and source is not null").distinct(), "claims")
@@ -63,8 +63,8 @@ def true_values(stated: DataFrame, rounds: int = 4, prior: float = 0.5) -> DataF
     votes = stated.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
     cover = pairs.groupBy("group").agg(F.count(F.lit(1)).alias("s"))
     p = votes.join(cover, "group").select("group", "value", ((F.col("n") + F.lit(0.5)) / (F.col("s") + F.lit(1.0))).alias("p_true"))
+    p = materialize(p, "p")
     for _ in range(rounds):
-        p = materialize(p, "p")
         # M: expected true and false values of the groups a source covers, and those among them that it states
         g = p.groupBy("group").agg(F.sum("p_true").alias("t"), F.count(F.lit(1)).alias("v"))
         seen = pairs.join(g, "group").groupBy("source").agg(F.sum("t").alias("t"), F.sum("v").alias("v"))
@@ -80,5 +80,13 @@ def true_values(stated: DataFrame, rounds: int = 4, prior: float = 0.5) -> DataF
         silent = pairs.join(q, "source").groupBy("group").agg(F.sum("neg").alias("silent"))
         spoken = stated.join(q, "source").groupBy("group", "value").agg(F.sum(F.col("pos") - F.col("neg")).alias("spoken"))
         logit = F.log(F.lit(prior / (1 - prior))) + F.col("silent") + F.col("spoken")
-        p = spoken.join(silent, "group").select("group", "value", (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("p_true"))
+        after = spoken.join(silent, "group").select("group", "value", (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("p_true"))
+        both = materialize(after.join(p.withColumnRenamed("p_true", "before"), ["group", "value"]), "p")
+        moved = both.agg(F.max(F.abs(F.col("p_true") - F.col("before")))).first()[0] or 0.0
+        forget(p)
+        forget(q)
+        p = both.drop("before")
+        p._amphora_path = both._amphora_path
+        if moved <= tolerance:
+            break
     return p

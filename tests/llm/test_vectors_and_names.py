@@ -176,3 +176,17 @@ def test_exact_and_small_cells(spark):
     want = {(min(q, int(e)), max(q, int(e))) for q in range(600) for e in np.argsort(-s[q])[:5]}
     got = {(r.a, r.b) for r in nb.similar_pairs(df, enough=10, shard_rows=50, exact=True, cells=8).collect()}
     assert got == want
+
+
+def test_cheapest_pairing_against_brute_force():
+    import random
+    from itertools import permutations
+
+    rng = random.Random(3)
+    for _ in range(80):
+        n, m = rng.choice([(2, 3), (3, 3), (3, 5), (4, 4)])
+        costs = [[None if rng.random() < 0.3 else (rng.randrange(8) / 2, rng.random() < 0.5) for _ in range(m)] for _ in range(n)]
+        every = [[costs[i][j] for i, j in enumerate(p)] for p in permutations(range(m), n)]
+        want = min((sum(c for c, _ in e) for e in every if None not in e), default=None)
+        got = nv.cheapest_pairing(costs)
+        assert (got and got[0]) == want if want is None else got[0] == pytest.approx(want)
