@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,37 +14,40 @@ from amphora.schema import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 from amphora.session import spread
 
 
+def _runs(text: str, a: int, b: int, mark: str, size: int) -> list[tuple[int, int]]:
+    """Spans of text[a:b] that end at a mark or at b: each as long as ``size`` allows, or a single part that is longer."""
+    marks = [a + m.start() for m in re.finditer(re.escape(mark), text[a:b])]
+    begins, ends = [a, *(m + len(mark) for m in marks)], [*marks, b]
+    spans, i = [], 0
+    while i < len(begins):
+        last = max(bisect_right(ends, begins[i] + size) - 1, i)  # the furthest part that ends within reach
+        if ends[i] > begins[i]:
+            spans.append((begins[i], ends[last]))
+            i = last + 1
+        else:  # an empty part begins no span
+            i += 1
+    return spans
+
+
 def split_units(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Paragraphs of at most ``size`` characters; longer ones are cut at the finest separator needed.
 
-    A separator between two units is lost; one inside a unit stays.
+    A separator between two units is lost; one inside a unit stays. Cuts are positions: the ends of the parts are
+    searched for the last one within reach, and a span still too long goes on to the next separator.
     """
-
-    def cut(piece: str, level: int) -> Iterator[str]:
-        mark = separators[level]
-        if mark == "":
-            yield from (piece[i : i + size] for i in range(0, len(piece), size))
-            return
-        held = ""
-        for part in piece.split(mark):
-            joined = held + mark + part if held else part
-            if len(joined) <= size:
-                held = joined
-                continue
-            if held:
-                yield held
-            held = part
-            if len(part) > size:
-                held = ""
-                yield from cut(part, level + 1)
-        if held:
-            yield held
-
-    out: list[str] = []
-    for paragraph in map(str.strip, text.split(separators[0])):
-        if paragraph:
-            out += [paragraph] if len(paragraph) <= size else cut(paragraph, 1)
-    return out
+    units: list[str] = []
+    for paragraph in text.split(separators[0]):
+        body = paragraph.strip()
+        open_ = [(0, len(body), 1)] if body else []
+        while open_:
+            a, b, level = open_.pop()
+            if b - a <= size:
+                units.append(body[a:b])
+            elif not separators[level]:
+                units.extend(body[i : min(i + size, b)] for i in range(a, b, size))
+            else:
+                open_.extend((x, y, level + 1) for x, y in reversed(_runs(body, a, b, separators[level], size)))
+    return units
 
 
 def pack_units(units: list[str], size: int) -> list[str]:

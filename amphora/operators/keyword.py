@@ -30,32 +30,60 @@ def term_weights(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def bm25_scores(posted: DataFrame, weights: DataFrame, averages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc, score) for documents sharing a term; a query term counts as often as the query has it."""
+    """(query_id, doc, score) for documents sharing a term; a query term counts as often as the query has it.
+
+    The queries' terms get their weights first; only their postings are read.
+    """
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = posted.join(terms, "term").join(weights, "term").crossJoin(F.broadcast(averages))
+    weighed = terms.join(weights.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    hits = posted.join(weighed, "term").crossJoin(F.broadcast(averages))  # one row
     tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avgdl")))
+    part = F.col("weight") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str = "chunk_id", text: str = "text", order: str = "ord") -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k best documents of each query, ties in corpus order.
+def first_unscored(queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, ord): the first ``k`` numbers 1, 2, ... that no row of ``scored`` (query_id, ord) of the query holds.
 
-    Documents without a shared term score 0 and fill up to k in corpus order, before documents that score below 0. ``order``
-    numbers the documents 1, 2, ... without gaps. An empty corpus or query table gives no rows; a query without
-    words gets the first k documents.
+    The t-th of them is t plus the held numbers with fewer than t free ones before; what a query keeps for that are at most k counts.
+    """
+    w = Window.partitionBy("query_id").orderBy("ord")
+    free = scored.withColumn("free", F.col("ord") - F.row_number().over(w)).where(F.col("free") < k)
+    counts = free.groupBy("query_id", "free").agg(F.count(F.lit(1)).alias("n")).groupBy("query_id").agg(F.collect_list(F.struct("free", "n")).alias("held"))
+    numbered = queries.select("query_id").distinct().join(counts, "query_id", "left").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    before = F.aggregate(F.coalesce("held", F.array()), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["free"] < F.col("t"), x["n"]).otherwise(0))
+    return numbered.select("query_id", (F.col("t") + before).alias("ord"))
+
+
+def search(posted: DataFrame, weights: DataFrame, averages: DataFrame, docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score, rank) over a stored index: ``posted`` (doc, term, tf, length), ``weights`` (term, idf), ``averages`` (avgdl), ``docs`` (key, ord).
+
+    Documents without a shared term score 0 and fill up to k in corpus order, before documents that score below 0.
     """
-    docs = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col(order).alias("ord"))
-    posted = materialize(postings(docs, "doc", "text"), "postings")
-    sizes = docs.select("doc", F.size(tokenize(F.col("text"))).alias("length"))
-    averages = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
-    scored = bm25_scores(posted, term_weights(posted, averages.select("n")), averages.select("avgdl"), queries)
-    scored = materialize(scored.withColumn("score", F.round("score", 9)).join(docs.select("doc", "ord"), "doc"), "scored")
-    found = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("above"))
-    short = queries.select("query_id").distinct().join(found, "query_id", "left").fillna(0).where(F.col("above") < k)
-    # of the first n + k documents at most n have a score, so k zeros are among them
-    zeros = short.join(docs.select("doc", "ord"), F.col("ord") <= F.col("n") + k).select("query_id", "doc", "ord").join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
-    every = scored.select("query_id", "doc", "ord", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
+    scored = bm25_scores(posted, weights, averages, queries)
+    scored = materialize(scored.withColumn("score", F.round("score", 9)).join(docs.select(F.col(key).alias("doc"), "ord"), "doc"), "scored")
+    above = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
+    short = queries.select("query_id").distinct().join(above, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id")
+    zeros = first_unscored(short, scored.select("query_id", "ord").join(short, "query_id"), k).join(docs.select(F.col(key).alias("doc"), "ord"), "ord")
+    every = scored.select("query_id", "doc", "ord", "score").unionByName(zeros.select("query_id", "doc", "ord", F.lit(0.0).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     ranked = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("doc").alias(key), "score", "rank")
+
+
+def averages_of(posted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(n, avgdl), one row: all documents count, also those without a word."""
+    lengths = posted.select("doc", "length").distinct().agg(F.sum("length").alias("words"))
+    return docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(lengths)).select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl"))  # one row each
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str = "chunk_id", text: str = "text", order: str = "ord") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best documents of each query, ties in corpus order, without a stored index.
+
+    ``order`` numbers the documents 1, 2, ... without gaps. An empty corpus or query table gives no rows; a query without
+    words gets the first k documents.
+    """
+    docs = docs.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("text"), F.col(order).alias("ord"))
+    posted = materialize(postings(docs, key, "text"), "postings")
+    averages = averages_of(posted, docs)
+    return search(posted, term_weights(posted, averages.select("n")), averages.select("avgdl"), docs.select(key, "ord"), queries, k, key)

@@ -11,7 +11,7 @@ from amphora.session import materialize
 def dense_order(df: DataFrame, by: list[str], name: str = "ord") -> DataFrame:
     """Number rows 1, 2, ... in the order of ``by``: range partitions are numbered apart and shifted by the sizes before them.
 
-    Only a size per partition reaches the driver.
+    Only a size per partition reaches the driver. The table is sorted and written, so give it the columns of the order and a key, no texts.
     """
     marked = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_id", 33)

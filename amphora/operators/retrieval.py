@@ -51,16 +51,16 @@ def _claim_in_order(cap: int | None):
     return claim
 
 
-def neighborhood(seeds: DataFrame, edge_table: DataFrame, same_as: DataFrame, hops: int = HOPS, cap: int = EDGE_CAP, in_order: bool = False) -> DataFrame:
+def neighborhood(seeds: DataFrame, edge_table: DataFrame, same_as: DataFrame, hops: int = HOPS, cap: int = EDGE_CAP, in_order: bool = True) -> DataFrame:
     """(query_id, hop, node, edge key, chunks): edges within ``hops`` of a query's seeds, once each at the shallowest hop.
 
     Every name of a node counts as the node. From the second hop on a node keeps its ``cap`` edges with the most chunks (then by key).
-    An edge that several nodes of the frontier keep goes to the smallest of them. The far end of an edge enters the next frontier unless it was visited; between
-    two names of one node the stored target is the far end.
+    The nodes of a frontier choose one after another, in the order of their keys, so that an edge taken by an earlier node doesn't use up a later
+    one's cap; that gathers a query's candidate edges of one hop in one task, so it is for bounded questions. The far end of an edge enters the
+    next frontier unless it was visited; between two names of one node the stored target is the far end.
 
-    ``in_order`` lets the nodes of a frontier choose one after another instead, so that an edge taken by an earlier node doesn't use up a later
-    one's cap. The two agree unless the cap binds on an edge that two frontier nodes reach. It gathers a query's candidate edges of one
-    hop in one task, so it is for bounded questions.
+    Without ``in_order`` the nodes choose apart, all in the cluster: an edge that several nodes of the frontier keep goes to the smallest of them.
+    The two agree unless the cap binds on an edge that two frontier nodes reach.
     """
     labels = materialize(variant_labels(same_as), "variants")
     keyed = edge_table.select(*EDGE, "chunks", node_key("source", "source_type").alias("s"), node_key("target", "target_type").alias("t"), F.concat_ws(_SEP, *EDGE).alias("edge"))

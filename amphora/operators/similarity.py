@@ -24,28 +24,27 @@ def _matrix(values: list) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + NORM_EPSILON)
 
 
-def _local_topk(qids: np.ndarray, q: np.ndarray, k: int):
+def _local_topk(qids: np.ndarray, q: np.ndarray, k: int, step: int = 2_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1).to_pylist())
-            s = q @ x.T
-            m = min(k + 1, s.shape[1])
-            # ties at the edge go to the smaller id
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :m]
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": pa.array(np.repeat(qids, m)), "id": pa.array(ids[order].ravel()), "score": pa.array(np.take_along_axis(s, order, 1).ravel())}
-            )
+            for at in range(0, len(qids), step):
+                s = np.round(q[at : at + step] @ x.T, 9)
+                m = min(k + 1, s.shape[1])
+                edge = np.partition(s, s.shape[1] - m, axis=1)[:, [s.shape[1] - m]]
+                r, c = np.nonzero(s >= edge)  # all ties at the edge: the smaller id wins later
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[at + r]), "id": pa.array(ids[c]), "score": pa.array(s[r, c])})
 
     return run
 
 
-def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key: str = "vec_id", vector: str = "vector", block: int = 2_000, own_hits: bool = False) -> DataFrame:
+def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key: str = "vec_id", vector: str = "vector", block: int = 20_000, own_hits: bool = False) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top k; ties go to the smaller id. Unless ``own_hits``, a query is a row of the table and isn't its own hit.
 
-    The stated queries (query_id, vector) meet all rows in blocks of at most about ``block`` vectors: what a task holds is bounded, and a task returns
-    k rows a query and batch. Unusable vectors on either side are left out.
+    The stated queries (query_id, vector) meet all rows in one map over the table, as long as they are at most about ``block`` (10 MB), and in a map a block
+    beyond that; a task returns k rows a query and batch, and ties. Unusable vectors on either side are left out.
     """
     rows = spread(table.where(usable(vector, dim) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")))
     asked = queries.where(usable("vector", dim)).select("query_id", "vector")
@@ -61,7 +60,7 @@ def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key
     if out is None:
         return table.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = (out if own_hits else out.where("query_id <> id")).withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w))
+    ranked = (out if own_hits else out.where("query_id <> id")).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -80,7 +79,8 @@ def _block_pairs(theta: float):
 
         def work() -> Iterator[pa.RecordBatch]:
             (left, right) = sides
-            if not left:
+            kind, i, j = (cell or "\x01\x01").split("\x01")[-3:]
+            if not left or (not right and (kind != "h" or i != j)):  # a block meets itself only in a cell of its own
                 return
             a = np.array([i for i, _ in left])
             x = _matrix([v for _, v in left])
@@ -102,22 +102,64 @@ def _block_pairs(theta: float):
     return run
 
 
-def threshold_pairs(table: DataFrame, theta: float = THETA, dim: int = 64, key: str = "vec_id", group: str = "type", vector: str = "vector", block: int = 4_000) -> DataFrame:
-    """(a, b), a < b: ids of one group whose cosine is at least ``theta``, exactly.
+def _reach(pivots: np.ndarray, widest: np.ndarray | None, angle: float):
+    """Rows (g, id, v) to (g, id, v, cell, home): home cells only, or every cell that may hold a vector within ``angle``.
 
-    A group is cut into blocks of about ``block`` vectors, and each pair of blocks is one matrix product in one task: a group
-    holding a third of all rows is many tasks, and only pairs above the threshold leave them. The work grows with the square of a group, as exactness asks.
+    Angles between directions obey the triangle inequality: what lies within ``angle`` of a vector is no further from the vector's pivots than that, so a
+    cell whose widest member is nearer to its pivot than that difference can't hold it.
     """
-    rows = table.where(usable(vector, dim) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(group, F.lit("")).alias("g"), F.col(vector).alias("v"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
-    own = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    met = own.select("g", "id", "v", "own", other)
-    cell = F.concat_ws("\x01", "g", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    cells = met.select(cell.alias("cell"), side.alias("side"), "id", "v")
-    return cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_block_pairs(theta), "a bigint, b bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(2).to_pylist())
+            away = np.arccos(np.clip(x @ pivots.T, -1, 1))
+            home = away.argmin(1)
+            if widest is None:
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(home.astype(np.int32)), "away": pa.array(away[np.arange(len(home)), home])})
+                continue
+            near = away <= widest[None, :] + angle + 1e-6
+            near[np.arange(len(home)), home] = True
+            r, c = np.nonzero(near & (np.arange(len(pivots))[None, :] <= home[:, None]))  # a pair meets in the smaller of its two home cells
+            rows = pa.array(r)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), pa.array(c.astype(np.int32)), pa.array(c == home[r])], names=["g", "id", "v", "cell", "home"]
+            )
+
+    return run
 
 
-def materialized_pairs(table: DataFrame, theta: float) -> DataFrame:
-    return materialize(threshold_pairs(table, theta), "pairs")
+def threshold_pairs(table: DataFrame, theta: float = THETA, dim: int = 64, key: str = "vec_id", group: str = "type", vector: str = "vector", block: int = 4_000, pivots: int = 256) -> DataFrame:
+    """(a, b), a < b: ids of one group whose cosine is at least ``theta``, exactly.
+
+    Every vector has the nearest of at most ``pivots`` sampled directions for its home; it travels to the cells whose members can
+    lie within the angle, and to no others (a bound by the triangle inequality, so no pair is lost). A cell of a group is cut into blocks of about ``block``
+    vectors, and each pair of blocks is one matrix product in one task: a group holding a third of all rows is many tasks, and only pairs above the
+    threshold leave them. On vectors without any clusters the cells can't be told apart, and the work grows with the square of a group, as exactness asks.
+    """
+    rows = table.where(usable(vector, dim) & F.col(key).isNotNull()).select(F.coalesce(group, F.lit("")).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = spread(rows)
+    n = rows.count()
+    share = min(1.0, 2.0 * pivots / max(n, 1))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(pivots).collect()  # the documented bound
+    if not sample:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    center, angle = _matrix([r.v for r in sample]), float(np.arccos(np.clip(theta, -1, 1)))
+    widest = np.zeros(len(center))
+    for r in rows.mapInArrow(_reach(center, None, angle), "cell int, away double").groupBy("cell").agg(F.max("away").alias("w")).collect():  # a row a pivot
+        widest[r.cell] = r.w
+    met = materialize(rows.mapInArrow(_reach(center, widest, angle), "g string, id bigint, v array<double>, cell int, home boolean"), "reach")
+    sizes = met.groupBy("g", "cell", "home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
+    sizes = sizes.groupBy("g", "cell").agg(F.max(F.when(F.col("home"), F.col("n"))).alias("homes"), F.coalesce(F.max(F.when(~F.col("home"), F.col("n"))), F.lit(0)).alias("guests")).where("homes is not null")
+    own = met.join(sizes, ["g", "cell"])
+    name = lambda kind, i, j: F.concat_ws("\x01", "g", "cell", F.lit(kind), i, j)
+    mine = F.pmod(F.xxhash64("id"), F.col("homes")).cast("int")
+    # homes meet homes: the pairs of blocks; guests meet homes: every block of guests with every block of homes
+    home = own.where("home").withColumn("own", mine)
+    among = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") - 1))).select(name("h", F.least("own", "other"), F.greatest("own", "other")).alias("cell_name"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v")
+    hosts = home.where("guests > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("guests") - 1))).select(name("g", F.col("own"), F.col("other")).alias("cell_name"), F.lit(0).alias("side"), "id", "v")
+    guests = own.where("not home").withColumns({"own": F.pmod(F.xxhash64("id"), F.col("guests")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("homes") - 1))})
+    guests = guests.select(name("g", F.col("other"), F.col("own")).alias("cell_name"), F.lit(1).alias("side"), "id", "v")
+    cells = among.unionByName(hosts).unionByName(guests).withColumnRenamed("cell_name", "cell")
+    return cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_block_pairs(theta), "a bigint, b bigint")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amphora.functions import text as T
 from amphora.operators import chunking, fusion, graph, keyword, ordering, resolve, retrieval, similarity
 from amphora.providers.embedder import HashingEmbedder
-from amphora.schema import CHUNK_OVERLAP, NODE_TYPES, RELATION_TYPES, THETA, allowed_triples
-from amphora.session import load, materialize
+from amphora.schema import CHUNK_OVERLAP, CHUNK_SIZE, NODE_TYPES, RELATION_TYPES, THETA, allowed_triples
+from amphora.session import load, materialize, spread
+from amphora.sources.index import ChunkIndex, chunk_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,11 +151,11 @@ S_PASS = f"{S_GRAPH}, {S_DOCS}, {S_COSINES}, {S_RANKED}"
 # ---- frames that several queries share ----
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct chunks in corpus order."""
-    chunks = load(spark, d, "chunks").where("text is not null and chunk_id is not null")
-    once = chunks.groupBy("chunk_id").agg(*[F.min(c).alias(c) for c in ("pageid", "chunk_index", "title", "text")])
-    return ordering.dense_order(once, ["pageid", "chunk_index", "chunk_id"])
+_EMBEDDER = HashingEmbedder()
+
+
+def _index(spark: SparkSession, d: str) -> ChunkIndex:
+    return chunk_index(spark, f"{d}/chunks.parquet", _EMBEDDER.column(F.col("text"), "passage"), "hashing")
 
 
 def _ask(spark: SparkSession, d: str) -> DataFrame:
@@ -161,9 +163,6 @@ def _ask(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "corpus").where("pageid % 100 = 0 and title is not null").groupBy(F.col("pageid").alias("query_id")).agg(F.min("title").alias("query"))
 
 
-_EMBEDDER = HashingEmbedder()
-
-
 def _valid(spark: SparkSession, d: str) -> DataFrame:
     return graph.valid_mentions(load(spark, d, "extractions"))
 
@@ -177,34 +176,64 @@ def _same_as(spark: SparkSession, d: str) -> DataFrame:
     return graph.same_as_links(load(spark, d, "resolutions"), graph.nodes(_valid(spark, d)))
 
 
-def _keyword_hits(spark: SparkSession, d: str, docs: DataFrame, k: int) -> DataFrame:
-    return keyword.bm25_topk(docs, _ask(spark, d), k).join(docs.select("chunk_id", "title"), "chunk_id")
+def _keyword_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    x = _index(spark, d)
+    return keyword.search(x.postings, x.weights, x.averages.select("avgdl"), x.docs, _ask(spark, d), k).join(x.docs.select("chunk_id", "title"), "chunk_id")
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _ask(spark, d).select("query_id", _EMBEDDER.column(F.col("query"), "query").alias("vector"))
+
 
+def _vector_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    x = _index(spark, d)
+    hits = similarity.vector_topk(x.vectors, _asked_vectors(spark, d), k, key="ord", own_hits=True)
+    return hits.join(x.docs.select(F.col("ord").alias("id"), "chunk_id", "title"), "id").select("query_id", "chunk_id", "title", "score", "rank")
 
-def _vector_hits(spark: SparkSession, d: str, docs: DataFrame, k: int) -> DataFrame:
-    asked = _ask(spark, d).select("query_id", _EMBEDDER.column(F.col("query"), "query").alias("vector"))
-    rows = docs.select("ord", _EMBEDDER.column(F.col("text"), "passage").alias("vector"))
-    hits = similarity.vector_topk(rows, asked, k, key="ord", own_hits=True)
-    return hits.join(docs.select(F.col("ord").alias("id"), "chunk_id", "title"), "id").select("query_id", "chunk_id", "title", "score", "rank")
 
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.hybrid(_vector_hits(spark, d, 30), _keyword_hits(spark, d, 30))
 
-def _hybrid(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
-    return fusion.hybrid(_vector_hits(spark, d, docs, 30), _keyword_hits(spark, d, docs, 30))
 
+@dataclass
+class _Graph:
+    """The graph of a folder: mentions and relations are validated once and written, and everything else reads those."""
 
-def _neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    valid = _valid(spark, d)
-    seeds = retrieval.link_spans(_ask(spark, d).withColumnRenamed("query", "span"), graph.nodes(valid))
-    return retrieval.neighborhood(seeds, graph.edges(_relations(spark, d)), _same_as(spark, d))
+    valid: DataFrame
+    relations: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
 
 
-def _passages(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
-    cand = retrieval.candidate_chunks(_neighborhood(spark, d), graph.edge_chunks(_relations(spark, d)))
-    asked = _ask(spark, d).select("query_id", _EMBEDDER.column(F.col("query"), "query").alias("query_vector"))
-    rows = cand.join(docs.select("chunk_id", "text"), "chunk_id").withColumn("vector", _EMBEDDER.column(F.col("text"), "plain"))
-    rows = rows.join(asked, "query_id").select("query_id", F.col("chunk_id").alias("id"), "ord", "query_vector", "vector")
-    best = similarity.rerank(rows).withColumnRenamed("id", "chunk_id")
-    return best.join(docs.select("chunk_id", "title", "text"), "chunk_id")
+def _graph(spark: SparkSession, d: str) -> _Graph:
+    valid = materialize(_valid(spark, d).select("chunk_id", "name", "type", "ord", "mention_id"), "valid")
+    judged = graph.validate_relations(load(spark, d, "relations"), valid).where("reason is null")
+    relations = materialize(judged.withColumns({e: T.sanitize_name(F.col(e)) for e in ("source", "target")}), "relations")
+    return _Graph(valid, relations, graph.nodes(valid), graph.edges(relations))
+
+
+def _neighborhood(spark: SparkSession, d: str, g: _Graph) -> DataFrame:
+    """The form that SQL can state: every node of a frontier keeps its own best edges."""
+    seeds = retrieval.link_spans(_ask(spark, d).withColumnRenamed("query", "span"), g.nodes)
+    return retrieval.neighborhood(seeds, g.edges, graph.same_as_links(load(spark, d, "resolutions"), g.nodes), in_order=False)
+
+
+def _rerank_rows(spark: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
+    """Candidates (query_id, chunk_id, ord) with the vectors of both sides."""
+    asked = _asked_vectors(spark, d).withColumnRenamed("vector", "query_vector")
+    rows = candidates.select("query_id", "chunk_id", "ord").join(_index(spark, d).vectors.select("chunk_id", "vector"), "chunk_id")
+    return rows.join(asked, "query_id").select("query_id", F.col("chunk_id").alias("id"), "ord", "query_vector", "vector")
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(spark, d)
+    candidates = retrieval.candidate_chunks(_neighborhood(spark, d, g), graph.edge_chunks(g.relations))
+    best = similarity.rerank(_rerank_rows(spark, d, candidates)).withColumnRenamed("id", "chunk_id")
+    return best.join(_index(spark, d).docs.select("chunk_id", "title"), "chunk_id")
+
+
+def _with_text(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    return hits.join(_index(spark, d).texts, "chunk_id")
 
 
 # ---- scans and text ----
@@ -260,17 +289,40 @@ def boilerplate_heading(spark, d):
     return h.select("heading", T.is_boilerplate(F.col("heading")).alias("boilerplate"))
 
 
-@query(None)
+def s_fold(parts: str, mark: str) -> str:
+    """Greedy joining of structs (t, o) by a mark: closed parts (o false) and what would grow too long begin anew."""
+    grown = f"length(acc[len(acc)].t) + {len(mark)} + length(x[1].t) <= {CHUNK_SIZE}"
+    whole = f"acc[len(acc)].o AND x[1].o"
+    return f"""list_filter(list_reduce({parts}, lambda acc, x: CASE WHEN {whole} AND acc[len(acc)].t = '' THEN list_concat(acc[1:len(acc) - 1], x)
+    WHEN {whole} AND {grown} THEN list_append(acc[1:len(acc) - 1], {{'t': acc[len(acc)].t || '{mark}' || x[1].t, 'o': true}}) ELSE list_concat(acc, x) END), lambda u: u.t <> '')"""
+
+
+S_HARD = f"CASE WHEN length(w) > {CHUNK_SIZE} THEN list_transform(range(0, length(w), {CHUNK_SIZE}), lambda i: {{'t': substring(w, i + 1, {CHUNK_SIZE}), 'o': false}}) ELSE [{{'t': w, 'o': true}}] END"
+S_UNITS = f"""r AS (SELECT row_number() OVER () AS rid, pageid, title, url, fetched_at, text FROM corpus WHERE text IS NOT NULL),
+pa AS (SELECT rid, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pk, {s_strip("unnest(string_split(text, chr(10) || chr(10)))")} AS p FROM r),
+se AS (SELECT rid, pk, generate_subscripts(string_split(p, '. '), 1) AS sk, unnest(string_split(p, '. ')) AS s FROM pa WHERE length(p) > {CHUNK_SIZE}),
+sw AS (SELECT rid, pk, sk, s, CASE WHEN length(s) > {CHUNK_SIZE} THEN list_transform({s_fold(f"list_transform(string_split(s, ' '), lambda w: {S_HARD})", ' ')}, lambda u: {{'t': u.t, 'o': false}}) ELSE [{{'t': s, 'o': true}}] END AS parts FROM se),
+lg AS (SELECT rid, pk, list(parts ORDER BY sk) AS parts FROM sw GROUP BY ALL),
+un AS (SELECT rid, pk, 0::BIGINT AS uk, p AS u FROM pa WHERE p <> '' AND length(p) <= {CHUNK_SIZE}
+    UNION ALL SELECT rid, pk, generate_subscripts(us, 1), unnest(us).t FROM (SELECT rid, pk, {s_fold('parts', '. ')} AS us FROM lg)),
+units AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY pk, uk) - 1 AS unit, u FROM un)"""
+
+
+@query(f"""WITH {S_UNITS},
+ul AS (SELECT rid, list([{{'t': u, 'o': true}}] ORDER BY unit) AS parts FROM units GROUP BY rid),
+bo AS (SELECT rid, {s_fold('parts', chr(10) * 2)} AS bs FROM ul),
+ch AS (SELECT rid, generate_subscripts(bs, 1) - 1 AS k, unnest(bs).t AS body FROM bo),
+tl AS (SELECT rid, k, body, lag(CASE WHEN length(body) <= {CHUNK_OVERLAP} THEN body WHEN strpos(right(body, {CHUNK_OVERLAP}), ' ') > 0 THEN substring(right(body, {CHUNK_OVERLAP}), strpos(right(body, {CHUNK_OVERLAP}), ' ') + 1)
+    ELSE right(body, {CHUNK_OVERLAP}) END) OVER (PARTITION BY rid ORDER BY k) AS tail FROM ch)
+SELECT pageid || ':' || k AS chunk_id, pageid, title, url, k::INTEGER AS chunk_index, CASE WHEN coalesce(tail, '') <> '' THEN tail || chr(10) || chr(10) || body ELSE body END AS text FROM tl JOIN r USING (rid)""")
 def chunk_documents(spark, d):
     return chunking.chunk_documents(load(spark, d, "corpus"))
 
 
-@query(None)
+@query(f"WITH {S_UNITS} SELECT pageid, fetched_at, unit::INTEGER AS unit, u AS text FROM units JOIN r USING (rid)")
 def chunk_units(spark, d):
     """Units longer than nothing, with the production size: the packing's input."""
-    from amphora.session import spread
-
-    units = F.pandas_udf(lambda s: s.map(lambda t: chunking.split_units(t, 1600) if t is not None else []), "array<string>")
+    units = F.pandas_udf(lambda s: s.map(lambda t: chunking.split_units(t, CHUNK_SIZE) if t is not None else []), "array<string>")
     rows = spread(load(spark, d, "corpus").select("pageid", "fetched_at", "text")).withColumn("u", units("text"))
     return rows.select("pageid", "fetched_at", F.posexplode("u").alias("unit", "text"))
 
@@ -315,14 +367,12 @@ def point_id(spark, d):
 
 @query(f"WITH {S_BM25} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def bm25_idf(spark, d):
-    docs = _docs(spark, d)
-    posted = materialize(keyword.postings(docs), "postings")
-    return keyword.term_weights(posted, docs.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, d).weights.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {S_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw WHERE rank <= 5")
 def bm25_topk(spark, d):
-    return keyword.bm25_topk(_docs(spark, d), _ask(spark, d), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _keyword_hits(spark, d, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH v AS (SELECT vec_id AS id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM node_vectors WHERE len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0)
@@ -334,39 +384,30 @@ def vector_topk(spark, d):
     return similarity.vector_topk(table, asked, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH v AS (SELECT vec_id AS id, type, name, list_transform(vector, lambda x: x::DOUBLE) AS v FROM node_vectors WHERE len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0)
-SELECT query_id, id, rank FROM (SELECT q.id AS query_id, e.id, row_number() OVER (PARTITION BY q.id ORDER BY round({s_cos('q.v', 'e.v')}, 9) DESC, e.id) AS rank
-FROM v q JOIN v e ON q.id % 100 = 0 AND q.type = e.type AND left(q.name, 2) = left(e.name, 2)) WHERE rank <= 6""")
+@query(f"""WITH {S_BM25}, {S_COSINES} SELECT query_id, id, rank FROM (SELECT kw.query_id, kw.chunk_id AS id, row_number() OVER (PARTITION BY kw.query_id ORDER BY c.score DESC, kw.rank) AS rank
+FROM kw JOIN cosn c USING (query_id, chunk_id)) WHERE rank <= 6""")
 def rerank(spark, d):
-    v = load(spark, d, "node_vectors").where(similarity.usable("vector", 64))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "type", F.substring("name", 1, 2).alias("head"), F.col("vector").alias("query_vector"))
-    c = v.select(F.col("vec_id").alias("id"), "type", F.substring("name", 1, 2).alias("head"), "vector", F.col("vec_id").alias("ord"))
-    return similarity.rerank(q.join(c, ["type", "head"]))
+    """The keyword pool of 30 chunks a question, reranked by vectors."""
+    return similarity.rerank(_rerank_rows(spark, d, _keyword_hits(spark, d, 30).withColumnRenamed("rank", "ord")))
 
 
-@query("""WITH d AS (SELECT source AS query_id, doc_id, n_chars, crawled_at FROM documents WHERE source IS NOT NULL),
-l AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank, 1.0::DOUBLE AS w FROM d
-UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY crawled_at DESC NULLS LAST, doc_id), 0.5::DOUBLE FROM d) WHERE rank <= 30)
-SELECT * FROM (SELECT query_id, doc_id, round(round(sum(w / (60 + rank)::DOUBLE), 12), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w / (60 + rank)::DOUBLE), 12) DESC, doc_id::VARCHAR) AS rank FROM l GROUP BY query_id, doc_id)""")
+@query(f"""WITH {S_BM25}, {S_VHITS},
+li AS (SELECT query_id, chunk_id, rank, 1.0::DOUBLE AS w FROM vh UNION ALL SELECT query_id, chunk_id, rank, 0.5::DOUBLE FROM kw)
+SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(w / (60 + rank)::DOUBLE), 12) AS score FROM li GROUP BY ALL)""")
 def rrf_fuse(spark, d):
-    """Each source's pools of its 30 longest and its 30 newest documents; the rank filter prunes before the shuffle."""
-    docs = load(spark, d, "documents").where("source is not null").select(F.col("source").alias("query_id"), "doc_id", "n_chars", "crawled_at")
-    lists = [
-        docs.select("query_id", "doc_id", F.lit(n).alias("list_id"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(by), "doc_id")).alias("rank"), F.lit(w).alias("weight")).where(F.col("rank") <= 30)
-        for n, (by, w) in enumerate((("n_chars", 1.0), ("crawled_at", 0.5)))
-    ]
-    return fusion.ranked(fusion.rrf(lists[0].unionByName(lists[1]), key="doc_id"), None, "doc_id").withColumn("score", F.round("score", 9))
+    """The whole vector and keyword pools of a question, the keyword list with half the weight."""
+    lists = _vector_hits(spark, d, 30).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("weight")).unionByName(_keyword_hits(spark, d, 30).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight")))
+    return fusion.ranked(fusion.rrf(lists), None).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {S_HYBRID} SELECT query_id, chunk_id, round(score, 9) AS score, found_by, rank FROM hy")
 def hybrid_search(spark, d):
-    return _hybrid(spark, d, _docs(spark, d)).withColumn("score", F.round("score", 9))
+    return _hybrid(spark, d).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {S_HYBRID} SELECT query_id, chunk_id FROM vh WHERE rank <= 5 INTERSECT SELECT query_id, chunk_id FROM kw WHERE rank <= 5")
+@query(f"WITH {S_HYBRID} SELECT query_id, chunk_id FROM vh INTERSECT SELECT query_id, chunk_id FROM kw")
 def search_overlap(spark, d):
-    docs = _docs(spark, d)
-    return fusion.overlap(_vector_hits(spark, d, docs, 5), _keyword_hits(spark, d, docs, 5))
+    return fusion.overlap(_vector_hits(spark, d, 30), _keyword_hits(spark, d, 30))
 
 
 # ---- the graph ----
@@ -465,7 +506,8 @@ def embedding_pairs(spark, d):
 
 
 def _candidates(spark, d):
-    node_table, edge_table = graph.nodes(_valid(spark, d)), graph.edges(_relations(spark, d))
+    g = _graph(spark, d)
+    node_table, edge_table = g.nodes, g.edges
     return resolve.candidate_pairs(resolve.token_block_pairs(node_table), _vector_pairs(spark, d), resolve.hubs(graph.degrees(node_table, edge_table)))
 
 
@@ -479,9 +521,10 @@ def pending_pairs(spark, d):
     return resolve.pending_pairs(_candidates(spark, d), graph.decided_pairs(load(spark, d, "resolutions")))
 
 
-@query("SELECT DISTINCT chunk_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM extractions e WHERE e.chunk_id = c.chunk_id)")
+@query("SELECT DISTINCT chunk_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.chunk_id = c.chunk_id)")
 def resume_pending(spark, d):
-    return resolve.resume_pending(load(spark, d, "chunks").select("chunk_id").distinct(), load(spark, d, "extractions"))
+    """Chunks whose second pass (relations) is still to come."""
+    return resolve.resume_pending(load(spark, d, "chunks").select("chunk_id").distinct(), load(spark, d, "relations"))
 
 
 @query(f"WITH {S_VALID}, {S_SAME} SELECT a_name, a_type, b_name, b_type, canonical[1] AS canonical FROM sa")
@@ -505,17 +548,18 @@ def link_spans(spark, d):
 
 @query(f"WITH RECURSIVE {S_GRAPH} SELECT query_id, hop, source, source_type, relation, target, target_type, chunks FROM nb")
 def graph_neighborhood(spark, d):
-    return _neighborhood(spark, d).select("query_id", "hop", *graph.EDGE, "chunks")
+    return _neighborhood(spark, d, _graph(spark, d)).select("query_id", "hop", *graph.EDGE, "chunks")
 
 
 @query(f"WITH RECURSIVE {S_GRAPH} SELECT query_id, chunk_id, ord FROM cc")
 def candidate_chunks(spark, d):
-    return retrieval.candidate_chunks(_neighborhood(spark, d), graph.edge_chunks(_relations(spark, d)))
+    g = _graph(spark, d)
+    return retrieval.candidate_chunks(_neighborhood(spark, d, g), graph.edge_chunks(g.relations))
 
 
 @query(f"WITH RECURSIVE {S_PASS} SELECT query_id, chunk_id, rank FROM ps")
 def graph_passages(spark, d):
-    return _passages(spark, d, _docs(spark, d)).select("query_id", "chunk_id", "rank")
+    return _passages(spark, d).select("query_id", "chunk_id", "rank")
 
 
 _S_ONLY = S_HYBRID.replace(f"{S_DOCS}, {S_ASK},", "").replace(f"{S_COSINES},", "")
@@ -523,27 +567,23 @@ _S_ONLY = S_HYBRID.replace(f"{S_DOCS}, {S_ASK},", "").replace(f"{S_COSINES},", "
 
 @query(f"WITH RECURSIVE {S_PASS}, {_S_ONLY} SELECT ps.query_id, ps.chunk_id, ps.title FROM ps WHERE NOT EXISTS (SELECT 1 FROM hy JOIN doc USING (chunk_id) WHERE hy.query_id = ps.query_id AND doc.title = ps.title)")
 def graph_only(spark, d):
-    docs = _docs(spark, d)
-    hits = _hybrid(spark, d, docs).join(docs.select("chunk_id", "title"), "chunk_id")
-    return retrieval.graph_only(_passages(spark, d, docs), hits).select("query_id", "chunk_id", "title")
+    hits = _hybrid(spark, d).join(_index(spark, d).docs.select("chunk_id", "title"), "chunk_id")
+    return retrieval.graph_only(_passages(spark, d), hits).select("query_id", "chunk_id", "title")
 
 
 @query(f"WITH {S_BM25} SELECT query_id, string_agg('[' || rank || '] (' || coalesce(kw.title, '') || ') ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM kw JOIN docs USING (chunk_id) WHERE rank <= 5 GROUP BY query_id")
 def context_block(spark, d):
-    docs = _docs(spark, d)
-    return retrieval.context_block(keyword.bm25_topk(docs, _ask(spark, d), 5).join(docs.select("chunk_id", "title", "text"), "chunk_id"))
+    return retrieval.context_block(_with_text(spark, d, _keyword_hits(spark, d, 5)))
 
 
 @query(f"WITH {S_BM25} SELECT query_id, rank, '  [' || rank || '] ' || coalesce(title, '') || ' (' || chunk_id || ')' AS line FROM kw WHERE rank <= 5")
 def source_lines(spark, d):
-    docs = _docs(spark, d)
-    return retrieval.source_lines(keyword.bm25_topk(docs, _ask(spark, d), 5).join(docs.select("chunk_id", "title"), "chunk_id"))
+    return retrieval.source_lines(_keyword_hits(spark, d, 5))
 
 
 @query(f"WITH {S_BM25} SELECT query_id, rank, printf('[%.3f] %s  (%s)', score, coalesce(kw.title, ''), chunk_id) AS head, '    ' || substring({s_collapse('text')}, 1, 200) || '...' AS body FROM kw JOIN docs USING (chunk_id) WHERE rank <= 5")
 def hit_lines(spark, d):
-    docs = _docs(spark, d)
-    return retrieval.hit_lines(keyword.bm25_topk(docs, _ask(spark, d), 5).join(docs.select("chunk_id", "title", "text"), "chunk_id"))
+    return retrieval.hit_lines(_with_text(spark, d, _keyword_hits(spark, d, 5)))
 
 
 @query("SELECT DISTINCT chunk_id, 'Types: Person, Place, Organization, Event, Law, Concept' || chr(10) || 'Passage:' || chr(10) || text AS prompt FROM chunks WHERE text IS NOT NULL")

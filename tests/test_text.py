@@ -40,11 +40,11 @@ def test_boilerplate(spark, title, want):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("== Overview ==\nText.\n== References ==\nOne.\n== External links ==\nTwo.", "Overview\nText."),
-        ("== Sources ==\nKept.\n== Organization ==\nBody.\n== References ==\nGone.", "Sources\nKept.\nOrganization\nBody."),
+        ("== Harbour ==\nShips came.\n== Notes ==\na\n== Works cited ==\nb", "Harbour\nShips came."),
+        ("== Bibliography ==\nStays, as text follows.\n== Mint ==\nCoins.\n== Footnotes ==\nc", "Bibliography\nStays, as text follows.\nMint\nCoins."),
         ("Lead.\n== See also ==\nx\n== Notes ==\ny\n== References and further reading ==\nz\n=== Part ===\nq", "Lead."),
-        ("== Trade and commerce ==\nKept.\n== References ==\nGone.", "Trade and commerce\nKept."),
-        ("<refnec>who struggled</refnec> and a < b", "who struggled and a < b"),
+        ("== Wool and dyes ==\nSold.\n== Citations ==\nd", "Wool and dyes\nSold."),
+        ("<aside>in dry years</aside> and 3 < 4", "in dry years and 3 < 4"),
         ("== References ==\nonly", ""),
         ("a\n\n\n\nb", "a\n\nb"),
         ("", ""),
@@ -62,19 +62,40 @@ def test_overlap_tail(spark):
 
 
 def test_chunk_cases():
-    assert chunk_text("   \n\n  ", 100, 20) == []
-    assert chunk_text("A short paragraph.", 100, 20) == ["A short paragraph."]
-    parts = chunk_text("\n\n".join(f"Paragraph {i} " + "word " * 20 for i in range(6)), 100, 20)
-    assert len(parts) > 1 and all(len(p) <= 122 for p in parts)
-    parts = chunk_text("\n\n".join(f"Para{i} " + "alpha " * 15 for i in range(6)), 100, 30)
-    assert parts[0][-15:].strip() in parts[1]
-    parts = chunk_text("\n\n".join(f"UNIQUE{i}marker " + "filler " * 10 for i in range(8)), 120, 20)
-    assert all(any(f"UNIQUE{i}marker" in p for p in parts) for i in range(8))
+    assert chunk_text(" \n\n\t\n\n ", 80, 10) == []
+    assert chunk_text("One line about wool.", 80, 10) == ["One line about wool."]
+    lines = [f"Line {i} of the toll list names {'salt ' * (i % 4 + 9)}and ends at gate {i}." for i in range(9)]
+    parts = chunk_text("\n\n".join(lines), 110, 24)
+    assert len(parts) > 3 and max(map(len, parts)) <= 136
+    assert all(sum(f"gate {i}." in p for p in parts) >= 1 for i in range(9))
+    bodies = chunk_text("\n\n".join(lines), 110, 0)
+    assert [p.removesuffix(b) for p, b in zip(parts, bodies, strict=True)] == ["", *(tail_of(b, 24) + "\n\n" for b in bodies[:-1])]
     assert tail_of("text", 0) == "" and chunk_text("a b " * 60, 40, 0)[1][:1] in "ab"
     assert split_units("x" * 95, 40) == ["x" * 40, "x" * 40, "x" * 15]
+    assert split_units("aa. bb. cccccccc dd. ee", 7) == ["aa. bb", "ccccccc", "c", "dd", "ee"]
     assert pack_units(["a" * 5, "b" * 5, "c" * 5], 12) == ["aaaaa\n\nbbbbb", "ccccc"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. ", min_size=1, max_size=120), st.integers(3, 30))
+def test_units_are_spans_parted_by_marks(text, size):
+    """Units lie in the paragraph one after the other, only separators between them, and none could reach further."""
+    at = 0
+    body = text.strip()
+    units = split_units(text, size)
+    for n, u in enumerate(units):
+        begin = body.index(u, at)
+        assert set(body[at:begin]) <= set(". ") and 0 < len(u) <= size
+        at = begin + len(u)
+        rest = body[at:]
+        if rest.startswith(". ") and n + 1 < len(units):  # the next sentence doesn't fit any more, or one of the two is longer than a unit
+            sentence = rest[2:].split(". ")[0]
+            before = body[:begin].rfind(". ")
+            whole = begin == 0 or body[begin - 2 : begin] == ". " or body[before + 2 : begin].strip(". ") == ""
+            assert not whole or len(u) + 2 + len(sentence) > size or sentence == ""
+    assert set(body[at:]) <= set(". ")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab. \n", max_size=300), st.integers(5, 40), st.integers(0, 20))
 def test_chunk_bounds(text, size, overlap):
@@ -87,7 +108,7 @@ def test_chunk_bounds(text, size, overlap):
 
 
 def test_chunk_documents(spark):
-    rows = [(42, "t", "u", None, "Short para.\n\n" + "long " * 200), (7, "t", "u", None, "one"), (8, None, None, None, None), (9, None, None, None, "  ")]
+    rows = [(42, "t", "u", None, "First.\n\n" + "tolls " * 180), (7, "t", "u", None, "one"), (8, None, None, None, None), (9, None, None, None, "  ")]
     df = spark.createDataFrame(rows, "pageid bigint, title string, url string, chunk_id string, text string")
     ids = [r.chunk_id for r in chunk_documents(df, 100, 20).orderBy("pageid", "chunk_index").collect()]
     assert ids[:3] == ["7:0", "42:0", "42:1"] and not any(i.startswith(("8:", "9:")) for i in ids)
