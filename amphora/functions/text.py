@@ -15,6 +15,7 @@ BOILERPLATE_SECTIONS = [
     "explanatory notes",
 ]
 NAME_STOPWORDS = ["the", "of", "a", "an", "and", "emperor", "empress", "king", "queen", "saint", "st", "pope", "general", "consul", "prefect", "divus"]
+# fixed values: how titles of list pages begin, and the namespace of names that are addresses (RFC 4122)
 SKIPPED_TITLE_PREFIXES = ["List of", "Timeline of", "Outline of", "Index of", "Bibliography of"]
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 

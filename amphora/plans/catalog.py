@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from amphora.functions import text as T
 from amphora.operators import chunking, fusion, graph, keyword, ordering, resolve, retrieval, similarity
+from amphora.providers import prompts as P
 from amphora.providers.embedder import HashingEmbedder
-from amphora.schema import CHUNK_OVERLAP, CHUNK_SIZE, NODE_TYPES, RELATION_TYPES, THETA, allowed_triples
+from amphora.schema import CHUNK_OVERLAP, CHUNK_SIZE, NODE_TYPES, RELATION_TYPES, THETA, allowed_triples, node_types_block, vocabulary_block
 from amphora.session import load, materialize, spread
 from amphora.sources.index import ChunkIndex, chunk_index
 
@@ -586,11 +587,25 @@ def hit_lines(spark, d):
     return retrieval.hit_lines(_with_text(spark, d, _keyword_hits(spark, d, 5)))
 
 
-@query("SELECT DISTINCT chunk_id, 'Types: Person, Place, Organization, Event, Law, Concept' || chr(10) || 'Passage:' || chr(10) || text AS prompt FROM chunks WHERE text IS NOT NULL")
+def s_text(x: str) -> str:
+    """A literal of several lines."""
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+
+
+@query(f"SELECT DISTINCT chunk_id, {s_text(P.ENTITY_TASK)} || chr(10) || {s_text(node_types_block())} || chr(10) || 'Passage:' || chr(10) || text AS prompt FROM chunks WHERE text IS NOT NULL")
 def entity_prompt(spark, d):
-    from amphora.providers.prompts import entity_prompt as build
+    return load(spark, d, "chunks").where("text is not null").select("chunk_id", P.entity_prompt(F.col("text")).alias("prompt")).distinct()
 
-    return load(spark, d, "chunks").where("text is not null").select("chunk_id", build(F.col("text")).alias("prompt")).distinct()
+
+@query(f"""WITH {S_VALID}, {S_DOCS}, fs AS (SELECT chunk_id, name, min_by(type, mention_id) AS type, min(mention_id) AS k FROM valid GROUP BY ALL),
+li AS (SELECT chunk_id, string_agg('- ' || name || ' — ' || type, chr(10) ORDER BY k) AS listed FROM fs GROUP BY chunk_id)
+SELECT chunk_id, {s_text(P.RELATION_TASK)} || chr(10) || {s_text(vocabulary_block())} || chr(10) || 'Entities:' || chr(10) || listed || chr(10) || 'Passage:' || chr(10) || text AS prompt FROM li JOIN docs USING (chunk_id)""")
+def relation_prompt(spark, d):
+    """The second pass of every chunk: its distinct names in the order of mention, each with the type it was first given."""
+    valid = _valid(spark, d).groupBy("chunk_id", "name").agg(F.min_by("type", "mention_id").alias("type"), F.min("mention_id").alias("k"))
+    listed = valid.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("k", "name", "type"))).alias("names"))  # the names of one passage
+    texts = load(spark, d, "chunks").where("text is not null and chunk_id is not null").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    return listed.join(texts, "chunk_id").select("chunk_id", P.relation_prompt(F.col("text"), F.col("names")).alias("prompt"))
 
 
 @query(f"""WITH {S_CAND},
@@ -598,10 +613,8 @@ ds AS (SELECT name, type, string_agg('- ' || description, chr(10) ORDER BY k) AS
 SELECT c.type, a_name, b_name, 'Are these the same ' || c.type || '?' || chr(10) || 'A: ' || a_name || chr(10) || coalesce(x.told, '') || chr(10) || 'B: ' || b_name || chr(10) || coalesce(y.told, '') AS prompt
 FROM cand c LEFT JOIN ds x ON x.name = a_name AND x.type = c.type LEFT JOIN ds y ON y.name = b_name AND y.type = c.type""")
 def decision_prompt(spark, d):
-    from amphora.providers.prompts import decision_prompt as build
-
     told = graph.node_descriptions(_valid(spark, d))
     pairs = _candidates(spark, d)
     for side in ("a", "b"):
         pairs = pairs.join(told.select(F.col("name").alias(f"{side}_name"), "type", F.col("values").alias(f"{side}_told")), [f"{side}_name", "type"], "left")
-    return pairs.select("type", "a_name", "b_name", build().alias("prompt"))
+    return pairs.select("type", "a_name", "b_name", P.decision_prompt().alias("prompt"))

@@ -26,6 +26,17 @@ RELATION_TYPES = {
     "INFLUENCED": (NODE_TYPES, NODE_TYPES),
 }
 
+# what the types mean; the wording is this engine's own and a parameter of the prompts
+NODE_MEANINGS = {
+    "Person": "one named human being, whatever the office or trade", "Place": "somewhere on a map: a town, a province, a river, a region", "Organization": "a body people belong to: an assembly, a troop, a guild, a rank of society",
+    "Event": "something that happened at a time: a war, a battle, a disaster, a reign", "Law": "one particular statute, decree or code", "Concept": "an idea, a right, a custom or an institution in general",
+}
+RELATION_MEANINGS = {
+    "RULED": "the source had power over the target", "MEMBER_OF": "the source belonged to the target", "PART_OF": "the source is a part of the target", "LOCATED_IN": "the source lies or took place in the target",
+    "ISSUED": "the source made the target law", "GRANTED": "the source gave the target as a right or a standing", "FOUNDED": "the source brought the target into being", "PARTICIPATED_IN": "the source took part in the target",
+    "SUCCEEDED": "the source came after the target in the same place", "INFLUENCED": "the source changed or shaped the target",
+}
+
 CHUNK_SIZE, CHUNK_OVERLAP = 1600, 240
 SEPARATORS = ("\n\n", ". ", " ", "")
 RRF_K, HYBRID_K, HYBRID_POOL, KEYWORD_K = 60, 5, 30, 5
@@ -48,8 +59,12 @@ def endpoints_label(types: list[str]) -> str:
     return "any" if set(types) == set(NODE_TYPES) else " | ".join(types)
 
 
-def vocabulary_block(relation_types: dict = RELATION_TYPES) -> str:
-    """The vocabulary as text for prompts."""
-    nodes = ["Node types:", *(f"- {t}" for t in NODE_TYPES)]
-    edges = ["Relation types:", *(f"- {r} ({endpoints_label(s)} -> {endpoints_label(t)})" for r, (s, t) in relation_types.items())]
-    return "\n".join([*nodes, "", *edges])
+def node_types_block(meanings: dict = NODE_MEANINGS) -> str:
+    """The node types as text for prompts, each with its meaning."""
+    return "\n".join(["Node types:", *(f"- {t}: {meanings[t]}" for t in NODE_TYPES)])
+
+
+def vocabulary_block(relation_types: dict = RELATION_TYPES, meanings: dict = RELATION_MEANINGS) -> str:
+    """The vocabulary as text for prompts: types and relations with their meanings, relations with the types they lead from and to."""
+    edges = ["Relation types:", *(f"- {r} ({endpoints_label(s)} -> {endpoints_label(t)}): {meanings.get(r, '')}".rstrip(": ") for r, (s, t) in relation_types.items())]
+    return "\n".join([node_types_block(), "", *edges])

@@ -40,6 +40,11 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DECISION).json(path).where("pair is not null")
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """The lines of a file or folder that aren't blank; 0 if there is none."""
+    return spark.read.text(path).where(F.trim("value") != "").count() if exists(spark, path) else 0
+
+
 def write_corpus(articles: DataFrame, path: str) -> None:
     articles.write.mode("overwrite").json(path)
 

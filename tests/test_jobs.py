@@ -66,9 +66,12 @@ def test_decide_and_spans(spark):
 def test_resume(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.createDataFrame([(f"{i}:0", "t", TEXT) for i in range(3)], CHUNK)
-    assert resume.run_batch(df.limit(2), out) == (2, 0)
-    assert resume.run_batch(df, out) == (1, 0)
-    assert resume.run_batch(df, out) == (0, 0)
+    sums = lambda c: (c.pending, c.successes, c.failures, c.entities, c.relations)
+    assert sums(resume.run_batch(df.limit(2), out)) == (2, 2, 0, 6, 2)
+    seen = []
+    assert sums(resume.run_batch(df, out, part=1, progress=lambda c: seen.append(c.successes))) == (1, 1, 0, 3, 1) and seen == [1]
+    assert sums(resume.run_batch(df, out)) == (0, 0, 0, 0, 0)
+    assert resume.progress_of(spark, out, chunks=df) == (3, 3) and resume.progress_of(spark, out + "-none", 7) == (0, 7)
     assert files.done_ids(spark, out).count() == 3 and files.read_extractions(spark, out).count() == 3
     with pytest.raises(resume.NothingWorks):
         resume.run_batch(spark.createDataFrame([(f"x{i}", "t", TEXT) for i in range(3)], CHUNK), out, broken(), limit=3)
@@ -85,7 +88,8 @@ def test_stream(spark, tmp_path):
 def test_decisions(spark, tmp_path):
     out = str(tmp_path / "d")
     df = spark.createDataFrame([("Person", "A B", "B, A", "A: A B\nB: B, A")], "type string, a_name string, b_name string, prompt string")
-    assert resume.run_decisions(df, out) == (1, 0) and resume.run_decisions(df, out) == (0, 0)
+    first, again = resume.run_decisions(df, out), resume.run_decisions(df, out)
+    assert (first.successes, first.failures, first.confirmed, again.pending) == (1, 0, 1, 0)
     assert files.decisions(spark, out).first().same
 
 
@@ -162,3 +166,128 @@ def test_stored_graph(spark, tmp_path):
         gt.link_same_as(spark.createDataFrame(rows, link), path)
     assert [tuple(r) for r in gt.read(spark, f"{path}/same_as", link).collect()] == [("NERO", "Person", "Nero", "Person", "Nero Claudius")]
     assert gt.newest(spark, f"{path}/node_chunks") == 3
+
+
+def test_replies_of_finished_parts_are_kept(spark, tmp_path):
+    def half():
+        class Half(M.RuleModel):
+            def complete(self, prompt, task, temperature):
+                if "poison" in prompt:
+                    raise RuntimeError("down")
+                return super().complete(prompt, task, temperature)
+
+        return Half
+
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(f"{i}:0", "t", TEXT if i % 2 else "poison " + TEXT) for i in range(8)], CHUNK)
+    done = resume.run_batch(df, out, half(), part=2, per_minute=None)
+    assert (done.successes, done.failures) == (4, 4) and files.done_ids(spark, out).count() == 4
+
+
+def test_a_task_stops_asking_when_nothing_works(spark):
+    df = spark.createDataFrame([(f"{i}:0", "t", TEXT) for i in range(9)], CHUNK).coalesce(1)
+    failures = [r.failure for r in M.extract(df, broken(), limit=3).collect()]
+    assert sum(f == M.SKIPPED for f in failures) == 6
+
+
+def test_rate_is_shared_by_the_tasks(spark):
+    rows = spark.range(40).repartition(5)
+    assert M._share(rows, 450, None)[1] == 90 and M._share(rows, 450, 2)[1] == 225 and M._share(rows, None, 2)[1] is None
+
+
+def test_relations_among_distinct_names():
+    asked = []
+
+    class Listens(M.RuleModel):
+        takes_schema = True
+
+        def complete(self, prompt, task, temperature, schema=None):
+            asked.append((task, prompt, schema))
+            if task == "entities":
+                return json.dumps({"entities": [{"name": n, "type": t, "description": ""} for n, t in (("B", "Person"), ("A", "Place"), ("B", "Event"), (" ", "Law"))]})
+            return json.dumps({"relations": []})
+
+    row = M.extract_one(Listens(), "1:0", "t", "text")
+    assert len(row["entities"]) == 4 and row["failure"] is None
+    task, prompt, schema = asked[1]
+    ends = schema["properties"]["relations"]["items"]["properties"]
+    assert task == "relations" and "- B — Person\n- A — Place\nPassage" in prompt and ends["source"]["enum"] == ends["target"]["enum"] == ["B", "A"]
+
+
+def test_reply_schemas():
+    from amphora.providers.prompts import keeps_to, reply_schema
+
+    rel = {"source": "A", "relation": "RULED", "target": "B", "description": "d"}
+    schema = reply_schema("relations", ["A", "B"])
+    assert keeps_to({"relations": [rel]}, schema) and not keeps_to({"relations": [rel | {"target": "C"}]}, schema) and not keeps_to({"relations": [rel | {"more": "x"}]}, schema)
+    assert keeps_to({"entities": [{"name": "A", "type": "Person", "description": ""}]}, reply_schema("entities")) and not keeps_to({"entities": [{"name": "A", "type": "Ship", "description": ""}]}, reply_schema("entities"))
+    assert keeps_to({"same": True, "canonical_name": ""}, reply_schema("same")) and not keeps_to({"same": "yes", "canonical_name": ""}, reply_schema("same"))
+    assert keeps_to({"entities": ["A"]}, reply_schema("query_entities"))
+
+
+def test_models_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            if self.path == "/gone":
+                self.send_error(404)
+                return
+            if self.path == "/chat" and len(seen) == 1:
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            if self.path == "/chat":
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": '{"entities": []}'}}]}).encode())
+            else:
+                self.wfile.write(b'{"response": "It "}\n\n{"response": "rains.", "done": true}\n')
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert M.ask_json(M.HttpModel(f"{at}/chat", "m"), "p", "entities") == {"entities": []}
+        assert len(seen) == 2 and seen[1]["response_format"]["json_schema"]["strict"] is True
+        pieces = []
+        assert M.LocalModel(f"{at}/generate", "m", stream=True, on_piece=pieces.append).complete("p", "answer", 0.0) == "It rains." and pieces == ["It ", "rains."]
+        with pytest.raises(M.Unreachable, match="404"):
+            M.LocalModel(f"{at}/gone", "m").complete("p", "answer", 0.0)
+        with pytest.raises(M.Unreachable):
+            M.post_json("http://127.0.0.1:9/none", {}, retries=1, sleep=lambda s: None)
+    finally:
+        server.shutdown()
+
+
+def test_wiki_links_and_assembly(spark):
+    links = [{"ns": 0, "exists": True, "title": "Aqueduct"}, {"ns": 0, "exists": True, "title": "List of mints"}, {"ns": 1, "exists": True, "title": "Talk"}, {"ns": 0, "title": "Red link"}, {"ns": 0, "exists": True, "title": "Ara (disambiguation)"}, {"ns": 0, "exists": True, "title": "Forum"}]
+    assert wiki.linked_titles({"parse": {"links": links}}) == ["Aqueduct", "Forum"] and wiki.linked_titles({}) == []
+    assert wiki.article_of({"query": {"pages": [{"pageid": 5, "title": "T", "extract": "Text"}]}})[2].endswith("/?curid=5")
+    rows = [(5, "A", "== Baths ==\nHot.\n== Notes ==\nx", 2), (5, "B", "later", 3), (6, "C", "== References ==\nonly", 1), (7, "D", "Text", 4), (8, "E", "Text", 5)]
+    got = wiki.assemble(spark.createDataFrame(rows, "pageid bigint, title string, text string, n int"), ["n"], 2).collect()
+    assert [(r.pageid, r.title, r.text) for r in got] == [(5, "A", "Baths\nHot."), (7, "D", "Text")]
+
+
+def test_first_sight_inside_a_load_and_relinking(spark, tmp_path):
+    from amphora.schema import EXTRACTION
+    from amphora.streaming import graph_tables as gt
+
+    path, out = str(tmp_path / "graph"), str(tmp_path / "decisions")
+    records = [(f"{p}:{i}", "t", [("Rome", "Place", f"{p}:{i}"), ("ROME", "Place", "")], []) for p in (10, 9) for i in (11, 2)]
+    gt.load_records(spark.createDataFrame(records, EXTRACTION), path)
+    rows = gt.read(spark, f"{path}/node_chunks", "name string, type string, chunk_id string, seen bigint").where("name = 'Rome'").orderBy("seen").collect()
+    assert [r.chunk_id for r in rows] == ["9:2", "9:11", "10:2", "10:11"]
+    df = spark.createDataFrame([("Place", "ROME", "Rome", "A: ROME\nB: Rome")], "type string, a_name string, b_name string, prompt string")
+    resume.run_decisions(df, out)
+    link = "a_name string, a_type string, b_name string, b_type string"
+    assert gt.read(spark, f"{path}/same_as", link).count() == 0
+    resume.run_decisions(df, out, graph=path)  # nothing is pending, all confirmed decisions are linked
+    assert [tuple(r) for r in gt.read(spark, f"{path}/same_as", link).collect()] == [("ROME", "Place", "Rome", "Place")]
