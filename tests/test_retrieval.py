@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,10 +226,44 @@ def test_components(spark, bound):
 def test_claims_in_order(spark):
     # B and C reach the shared edge; B takes its best two, and C's cap isn't used up by what B took
     edges = [("A", "B", 1), ("A", "C", 1), ("B", "C", 9), ("B", "X", 8), ("C", "Y", 7), ("C", "Z", 6)]
-    assert hood(spark, ["A"], edges, hops=2, cap=2, in_order=True) == {(1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "B", "X"), (2, "C", "Y"), (2, "C", "Z")}
-    assert hood(spark, ["A"], edges, hops=2, cap=2) == {(1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "B", "X"), (2, "C", "Y")}
+    assert hood(spark, ["A"], edges, hops=2, cap=2) == {(1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "B", "X"), (2, "C", "Y"), (2, "C", "Z")}
+    assert hood(spark, ["A"], edges, hops=2, cap=2, in_order=False) == {(1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "B", "X"), (2, "C", "Y")}
 
 
 def test_hit_lines(spark):
     df = spark.createDataFrame([(1, 1, "1:0", "T", "a \n b", 0.12345, "V")], "query_id bigint, rank int, chunk_id string, title string, text string, score double, found_by string")
     assert retrieval.hit_lines(df, 4, 180, found_by=True).first()[2:] == ("[0.1235] [  V] T  (1:0)", "    a b...") or retrieval.hit_lines(df).first().head == "[0.123] T  (1:0)"
+
+
+def test_threshold_pairs_over_cells_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 64))
+    x = np.concatenate([c + rng.normal(scale=0.25, size=(30, 64)) for c in centers] + [rng.normal(size=(60, 64))])
+    kinds = ["a", "b", None]
+    rows = [(i, kinds[i % 3], [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (900, "a", None), (901, "a", [0.0] * 64), (902, "a", [1.0])], "vec_id bigint, type string, vector array<float>")
+    f = x.astype(np.float32).astype(np.float64)
+    u = f / (np.linalg.norm(f, axis=1, keepdims=True) + 1e-9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True) if i % 3 == j % 3}
+    for block, pivots in ((7, 40), (50, 6), (4_000, 256)):
+        got = [(r.a, r.b) for r in similarity.threshold_pairs(df, block=block, pivots=pivots).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert similarity.threshold_pairs(df.limit(0)).count() == 0
+
+
+def test_first_unscored(spark):
+    scored = [(1, o) for o in (1, 2, 4, 7, 8)] + [(2, 3)]
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id bigint")
+    got = keyword.first_unscored(asked, spark.createDataFrame(scored, "query_id bigint, ord bigint"), 4).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 3), (1, 5), (1, 6), (1, 9), (2, 1), (2, 2), (2, 4), (2, 5), (3, 1), (3, 2), (3, 3), (3, 4)]
+
+
+def test_keyword_search_has_no_nested_loop(spark):
+    docs = spark.createDataFrame([(f"{i}:0", "road stone", i + 1) for i in range(5)] + [("9:0", "toll", 6)], "chunk_id string, text string, ord bigint")
+    out = keyword.bm25_topk(docs, spark.createDataFrame([(1, "toll"), (2, ""), (3, "road road")], "query_id bigint, query string"), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got[1][0] == "9:0" and got[1][1:] == ["0:0", "1:0"] and got[2] == ["0:0", "1:0", "2:0"]
