@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +50,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     Unlike a cache its blocks aren't tied to one executor, and unlike recomputation the work is done once.
-    The files are removed when the driver program ends; ``forget`` removes them sooner.
+    The files are removed when the driver program ends; ``forget`` and ``scratch`` remove them sooner.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/amphora/{name}-{uuid.uuid4().hex}"
@@ -68,6 +69,27 @@ def forget(df: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Let a materialized table outlive ``scratch``."""
+    _kept.add(getattr(df, "_amphora_path", ""))
+    return df
+
+
+@contextlib.contextmanager
+def scratch():
+    """Removes, at its end, the intermediate tables that were written inside; use the results before. For sessions that run for long."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        inside = _written[mark:]
+        _written[mark:] = [x for x in inside if x[1] in _kept]
+        for spark, path in inside:
+            if path not in _kept:
+                with contextlib.suppress(Exception):
+                    _remove(spark, path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,7 +99,7 @@ def blank(c) -> F.Column:
     return c.isNull() | (F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") == "")
 
 
-def spread(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Round-robin a small-file table over the cluster before Python work.
 
     A Parquet file below ``maxPartitionBytes`` is one task whatever the work per row; tables already split finely

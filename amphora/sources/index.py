@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amphora.operators import keyword, ordering
-from amphora.session import materialize
+from amphora.session import keep, materialize
 
 _held: dict[tuple, ChunkIndex] = {}
 
@@ -40,6 +40,8 @@ def build(chunks: DataFrame, vector: Column) -> ChunkIndex:
     averages = materialize(keyword.averages_of(posted, docs), "averages")
     weights = materialize(keyword.term_weights(posted, averages.select("n")), "weights")
     vectors = materialize(texts.select("chunk_id", vector.alias("vector")).join(docs.select("chunk_id", "ord"), "chunk_id"), "vectors")
+    for table in (once, docs, posted, averages, weights, vectors):
+        keep(table)
     return ChunkIndex(docs, texts, posted, weights, averages, vectors)
 
 

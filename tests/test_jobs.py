@@ -291,3 +291,27 @@ def test_first_sight_inside_a_load_and_relinking(spark, tmp_path):
     assert gt.read(spark, f"{path}/same_as", link).count() == 0
     resume.run_decisions(df, out, graph=path)  # nothing is pending, all confirmed decisions are linked
     assert [tuple(r) for r in gt.read(spark, f"{path}/same_as", link).collect()] == [("ROME", "Place", "Rome", "Place")]
+
+
+def test_scratch_removes_what_was_written_inside(spark):
+    from amphora.session import keep, materialize, scratch
+
+    with scratch():
+        gone, kept = materialize(spark.range(3)), keep(materialize(spark.range(4)))
+        assert gone.count() == 3
+    assert not files.exists(spark, gone._amphora_path) and kept.count() == 4
+
+
+def test_index_is_built_once_for_a_version(spark, tmp_path):
+    from amphora.sources import index
+
+    path = str(tmp_path / "chunks.parquet")
+    chunk = "chunk_id string, pageid bigint, chunk_index int, title string, text string"
+    rows = [("2:0", 2, 0, "t", "road stone"), ("1:0", 1, 0, "t", "toll"), ("1:0", 1, 0, "t", "toll"), ("3:0", 3, 0, "t", None)]
+    spark.createDataFrame(rows, chunk).write.parquet(path)
+    vector = HashingEmbedder(8).column(F.col("text"))
+    first = index.chunk_index(spark, path, vector)
+    assert index.chunk_index(spark, path, vector) is first and [(r.chunk_id, r.ord) for r in first.docs.orderBy("ord").collect()] == [("1:0", 1), ("2:0", 2)]
+    spark.createDataFrame([("4:0", 4, 0, "t", "mill")], chunk).write.mode("append").parquet(path)
+    again = index.chunk_index(spark, path, vector)
+    assert again is not first and again.docs.count() == 3 and again.averages.first().n == 3
