@@ -133,7 +133,7 @@ def _reach(pivots: np.ndarray, widest: np.ndarray | None, angle: float):
 def threshold_pairs(table: DataFrame, theta: float = THETA, dim: int = 64, key: str = "vec_id", group: str = "type", vector: str = "vector", block: int = 4_000, pivots: int = 256) -> DataFrame:
     """(a, b), a < b: ids of one group whose cosine is at least ``theta``, exactly.
 
-    Every vector has the nearest of at most ``pivots`` sampled directions (two a block of the table) for its home; it travels to the cells whose members can
+    Every vector has the nearest of at most ``pivots`` sampled directions (one a block of the table) for its home; it travels to the cells whose members can
     lie within the angle, and to no others (a bound by the triangle inequality, so no pair is lost). A cell of a group is cut into blocks of about ``block``
     vectors, and each pair of blocks is one matrix product in one task: a group holding a third of all rows is many tasks, and only pairs above the
     threshold leave them. On vectors without any clusters the cells can't be told apart, and the work grows with the square of a group, as exactness asks.
@@ -142,17 +142,20 @@ def threshold_pairs(table: DataFrame, theta: float = THETA, dim: int = 64, key:
     rows = spread(rows)
     n = rows.count()
     # a vector has at most half as many copies as there are pivots, so there are no more of them than blocks would make
-    pivots = int(min(pivots, max(1, -(-n // block) * 2)))
+    pivots = int(min(pivots, max(1, -(-n // block))))
     share = min(1.0, 4.0 * pivots / max(n, 1))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(pivots).collect()  # the documented bound
     sample = sample or rows.select("v").limit(1).collect()
     if not sample:
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    center, angle = _matrix([r.v for r in sample]), float(np.arccos(np.clip(theta, -1, 1)))
-    widest = np.zeros(len(center))
-    for r in rows.mapInArrow(_reach(center, None, angle), "cell int, away double").groupBy("cell").agg(F.max("away").alias("w")).collect():  # a row a pivot
-        widest[r.cell] = r.w
-    met = rows.mapInArrow(_reach(center, widest, angle), "g string, id bigint, v array<double>, cell int, home boolean")
+    if len(sample) == 1:  # a single cell is everyone's home
+        met = rows.select("g", "id", "v", F.lit(0).alias("cell"), F.lit(True).alias("home"))
+    else:
+        center, angle = _matrix([r.v for r in sample]), float(np.arccos(np.clip(theta, -1, 1)))
+        widest = np.zeros(len(center))
+        for r in rows.mapInArrow(_reach(center, None, angle), "cell int, away double").groupBy("cell").agg(F.max("away").alias("w")).collect():  # a row a pivot
+            widest[r.cell] = r.w
+        met = rows.mapInArrow(_reach(center, widest, angle), "g string, id bigint, v array<double>, cell int, home boolean")
     sizes = met.groupBy("g", "cell", "home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
     sizes = sizes.groupBy("g", "cell").agg(F.max(F.when(F.col("home"), F.col("n"))).alias("homes"), F.coalesce(F.max(F.when(~F.col("home"), F.col("n"))), F.lit(0)).alias("guests")).where("homes is not null")
     own = met.join(sizes, ["g", "cell"])
