@@ -265,6 +265,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting, which holds neither side on the driver.
+
+    The planner takes the size of a table's files for that of its rows, and for that of all that a map in Arrow makes of
+    them; tokens of a few MB, within the limit for a broadcast, have keys of hundreds.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def spelling_units(extractions: DataFrame, types: tuple[str, ...] = ("Person", "Organization")) -> DataFrame:
     """(id, type, spelling, place): distinct; a spelling without any described place has one unit with place ''."""
     spelling = F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "))
@@ -273,7 +282,7 @@ def spelling_units(extractions: DataFrame, types: tuple[str, ...] = ("Person", "
     named = extractions.where(F.col("type").isin(*types) & ~blank(F.col("name"))).select("type", spelling.alias("spelling"), place.alias("place")).where("spelling <> ''").distinct()
     named = materialize(named, "spellings")
     placed = named.where("place <> ''")
-    bare = named.where("place = ''").join(placed, ["type", "spelling"], "left_anti")
+    bare = _merged(named.where("place = ''"), placed, ["type", "spelling"], "left_anti")
     return materialize(placed.unionByName(bare).select(F.xxhash64("type", "spelling", "place").alias("id"), "type", "spelling", "place"), "units")
 
 
@@ -284,7 +293,7 @@ def _by_place(units: DataFrame, shard_units: int) -> DataFrame:
     """
     placed = units.where("place <> ''")
     sizes = placed.groupBy("type", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(shard_units)).cast("int"))
-    sized = placed.join(sizes, ["type", "place"])
+    sized = _merged(placed, sizes, ["type", "place"])
     own = F.pmod("id", "blocks").cast("int")
     block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     every = F.filter(F.array_distinct(F.split("spelling", " ")), lambda t: F.length(t) > 3)  # same_name wants one of these spelt alike
@@ -341,7 +350,7 @@ def near_tokens(units: DataFrame) -> DataFrame:
     schema = "type string, t string, key string"
     asked = tokens.where("bare").select("type", "t").mapInArrow(_neighbourhoods(True), schema)
     held = spread(tokens.select("type", "t")).mapInArrow(_neighbourhoods(False), schema).withColumnRenamed("t", "u")
-    met = asked.join(held, ["type", "key"]).select("type", "t", "u").distinct()
+    met = _merged(asked, held, ["type", "key"]).select("type", "t", "u").distinct()
     return met.mapInArrow(_within, "type string, t string, u string").groupBy("type", "t").agg(F.collect_list("u").alias("near"))
 
 
@@ -376,14 +385,14 @@ def _by_alike(units: DataFrame, shard_units: int) -> DataFrame:
     missed. Shards that nobody asks in are left out; one too large is cut into blocks, in each of which the askers ask.
     """
     bare = units.where("place = ''")
-    near = bare.select("id", "type", F.explode(F.array_distinct(F.split("spelling", " "))).alias("t")).join(near_tokens(units), ["type", "t"])
+    near = _merged(bare.select("id", "type", F.explode(F.array_distinct(F.split("spelling", " "))).alias("t")), near_tokens(units), ["type", "t"])
     near = near.groupBy("id").agg(F.collect_list(F.struct("t", "near")).alias("near"))
     schema, columns = "shard string, id bigint, spelling string, place string", ("type", "id", "spelling", "place", "near")
     held = materialize(units.withColumn("near", F.lit(None).cast("array<struct<t:string,near:array<string>>>")).select(*columns).mapInArrow(_pair_shards, schema), "held")
     sizes = held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_units)).cast("int").alias("blocks"))
-    asked = spread(bare.join(near, "id").select(*columns)).mapInArrow(_pair_shards, schema)
-    asked = materialize(asked.join(sizes, "shard"), "asked")
-    held = held.join(asked.select("shard", "blocks").distinct(), "shard").withColumn("block", F.pmod("id", "blocks").cast("int"))
+    asking = materialize(_merged(bare, near, "id").select(*columns), "asking")  # spread would run all before it to count its parts
+    asked = materialize(_merged(spread(asking).mapInArrow(_pair_shards, schema), sizes, "shard"), "asked")
+    held = _merged(held, asked.select("shard", "blocks").distinct(), "shard").withColumn("block", F.pmod("id", "blocks").cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     row = lambda df, probes: df.select(
         F.concat_ws("\x01", "shard", "block").alias("shard"), "id", "spelling", "place", F.lit(None).cast("array<string>").alias("keys"), F.lit(not probes).alias("indexed"), F.lit(probes).alias("probes")
@@ -419,7 +428,7 @@ def link_spellings(extractions: DataFrame, types: tuple[str, ...] = ("Person", "
     units = spelling_units(extractions, types)
     links = materialize(same_entity_links(units, shard_units), "links")
     labels = min_labels(links).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return units.join(labels, "id", "left").select("type", "spelling", F.coalesce("root", "id").alias("entity")).distinct()
+    return _merged(units, labels, "id", "left").select("type", "spelling", F.coalesce("root", "id").alias("entity")).distinct()
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
@@ -427,4 +436,4 @@ def spelling_pairs(linked: DataFrame) -> DataFrame:
     a = linked.select("type", "entity", F.col("spelling").alias("name_a"))
     b = linked.select("type", "entity", F.col("spelling").alias("name_b"))
     several = linked.groupBy("type", "entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", "entity")
-    return a.join(several, ["type", "entity"]).join(b, ["type", "entity"]).where("name_a < name_b").select("type", "name_a", "name_b").distinct()
+    return _merged(_merged(a, several, ["type", "entity"]), b, ["type", "entity"]).where("name_a < name_b").select("type", "name_a", "name_b").distinct()

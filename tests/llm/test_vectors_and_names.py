@@ -148,6 +148,29 @@ def test_undescribed_spelling_needs_no_equal_token(spark):
     assert linked(spark, rows, shard_units=1) == want
 
 
+def test_no_side_of_a_join_is_gathered_on_the_driver(spark, monkeypatch):
+    """The tables are far below the limit for a broadcast, as are the files of tables whose keys are not."""
+    plans, write = [], nv.materialize
+
+    def ran(df):
+        out = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    def kept(df, name="t"):
+        ran(df)
+        return write(df, name)
+
+    monkeypatch.setattr(nv, "materialize", kept)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    rows = [("Ada Botrukil Tegamunus", "Person", "Censor, Nagobogin."), ("Ada Botrukil Tegamunos", "Person", "Censor, Nagobogin."), ("Ada Botrukil Tegamunxs", "Person", None), ("Ada Botrukli Tegamunys", "Person", "")]
+    df = spark.createDataFrame([(*r, 1, "s", "p", "e") for r in rows], ROWS)
+    names = sorted(r[0].lower() for r in rows)
+    got = ran(nv.spelling_pairs(write(nv.link_spellings(df), "linked")))
+    assert {tuple(r) for r in got} == {("Person", a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+    assert not [p for p in plans if "Broadcast" in p] and sum("SortMergeJoin" in p for p in plans) >= 4
+
+
 def test_tiles_hold_every_cell_once():
     rng = np.random.default_rng(4)
     counts = rng.integers(0, 9, (17, 11))
