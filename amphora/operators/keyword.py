@@ -1,45 +1,70 @@
-"""BM25 over chunks for many queries at once: postings, term weights, top k."""
+"""BM25 over chunks for many queries at once: tokens, term weights, top k."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from amphora.functions.text import tokenize
+from amphora.operators.topk import Best
 from amphora.schema import KEYWORD_K
-from amphora.session import materialize
+from amphora.session import materialize, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf, length): a row per document and distinct term."""
-    tokens = docs.select(F.col(key).alias("doc"), tokenize(F.col(text)).alias("ts"))
-    return tokens.select("doc", F.size("ts").alias("length"), F.explode("ts").alias("term")).groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc", "term", "tf", "length")
+def tokens_of(docs: DataFrame, key: str = "chunk_id", text: str = "text", order: str = "ord") -> DataFrame:
+    """(key, ord, tokens): a row per document."""
+    return docs.select(key, F.col(order).alias("ord"), tokenize(F.col(text)).alias("tokens"))
 
 
-def term_weights(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
+def term_weights(tokens: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, df, idf): inverse document frequency; negative weights are lifted to a share of the average of all terms.
 
     ``n_docs`` is a one-row table (n).
     """
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))  # one row
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))  # one row
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("raw"))
     floor = raw.agg((F.avg("raw") * F.lit(EPSILON)).alias("floor"))
     return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(posted: DataFrame, weights: DataFrame, averages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc, score) for documents sharing a term; a query term counts as often as the query has it.
-
-    The queries' terms get their weights first; only their postings are read.
-    """
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighed = terms.join(weights.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    hits = posted.join(weighed, "term").crossJoin(F.broadcast(averages))  # one row
-    tf = F.col("tf").cast("double")
-    part = F.col("weight") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
+def _scorer(ids: pa.Array, k: int, avgdl: float, terms: list[str], begins: np.ndarray, of: np.ndarray, weight: np.ndarray):
+    """Maps (ord, tokens) to the k best documents of each question; question i has the terms ``of`` and weights from ``begins[i]`` up to ``begins[i + 1]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, known = Best(len(ids), k), pa.array(terms, pa.string())
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            numbers, lists = b.column(0).to_numpy(), b.column(1)
+            sorted_ = np.argsort(numbers, kind="stable")
+            place = np.empty(n, np.int64)
+            place[sorted_], numbers = np.arange(n), numbers[sorted_]
+            length = np.diff(lists.offsets.to_numpy())
+            term = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+            row = np.repeat(place, length)[term >= 0]
+            cell, tf = np.unique(term[term >= 0].astype(np.int64) * n + row, return_counts=True)  # by term, then by number
+            term, row = np.divmod(cell, n)
+            part = tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length[sorted_][row] / avgdl))
+            edges = np.searchsorted(term, np.arange(len(terms) + 1))
+            scores = np.empty(n)
+            for i in range(len(ids)):
+                scores.fill(0.0)
+                for x in range(begins[i], begins[i + 1]):
+                    own = slice(edges[of[x]], edges[of[x] + 1])
+                    scores[row[own]] += weight[x] * part[own]  # a document is there once a term
+                best.add(i, scores, numbers)
+        yield from best.rows(("query_id", "ord", "score"), ids)
+
+    return run
 
 
 def first_unscored(queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
@@ -55,26 +80,41 @@ def first_unscored(queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
     return numbered.select("query_id", (F.col("t") + before).alias("ord"))
 
 
-def search(posted: DataFrame, weights: DataFrame, averages: DataFrame, docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank) over a stored index: ``posted`` (doc, term, tf, length), ``weights`` (term, idf), ``averages`` (avgdl), ``docs`` (key, ord).
+def search(tokens: DataFrame, weights: DataFrame, averages: DataFrame, docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str = "chunk_id", block: int = 20_000) -> DataFrame:
+    """(query_id, key, score, rank) over a stored index: ``tokens`` (ord, tokens), ``weights`` (term, idf), ``averages`` (avgdl), ``docs`` (key, ord).
 
-    Documents without a shared term score 0 and fill up to k in corpus order, before documents that score below 0.
+    The stated questions, as long as they are at most about ``block``, meet all documents in one map over the tokens, and in a map a block beyond that. A question
+    and a document that share a term are never a row: a word such as "of" is in every text, so those would be questions times documents. A task returns k rows a
+    question. Documents without a shared term score 0 and come in corpus order, before documents that score below 0. A query term counts as often as the query has it.
     """
-    scored = bm25_scores(posted, weights, averages, queries)
-    scored = materialize(scored.withColumn("score", F.round("score", 9)).join(docs.select(F.col(key).alias("doc"), "ord"), "doc"), "scored")
-    above = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
-    short = queries.select("query_id").distinct().join(above, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id")
-    zeros = first_unscored(short, scored.select("query_id", "ord").join(short, "query_id"), k).join(docs.select(F.col(key).alias("doc"), "ord"), "ord")
-    every = scored.select("query_id", "doc", "ord", "score").unionByName(zeros.select("query_id", "doc", "ord", F.lit(0.0).alias("score")))
+    spark, kind = tokens.sparkSession, queries.schema["query_id"].dataType
+    asked = queries.select("query_id").distinct()
+    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    weighed = terms.join(weights.select("term", "idf"), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight")))).alias("weighed"))
+    asked = materialize(asked.join(weighed, "query_id", "left"), "asked")
+    of_averages = averages.first()
+    n, rows = asked.count(), spread(tokens.select("ord", "tokens"))
+    blocks = max(1, -(-n // block) * (2 if n > block else 1))
+    schema, out = f"query_id {kind.simpleString()}, ord bigint, score double", None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # bounded by the block
+        if part and of_averages and of_averages.avgdl is not None:
+            at = {t: i for i, t in enumerate(sorted({x.term for r in part for x in r.weighed or ()}))}
+            begins = np.cumsum([0, *(len(r.weighed or ()) for r in part)])
+            of, weight = np.array([at[x.term] for r in part for x in r.weighed or ()], np.int64), np.array([x.weight for r in part for x in r.weighed or ()], np.float64)
+            run = _scorer(pa.array([r.query_id for r in part], to_arrow_type(kind)), k, of_averages.avgdl or 1.0, list(at), begins, of, weight)
+            found = rows.mapInArrow(run, schema)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    ranked = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("doc").alias(key), "score", "rank")
+    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.join(docs.select(key, "ord"), "ord").select("query_id", key, "score", "rank")
 
 
-def averages_of(posted: DataFrame, docs: DataFrame) -> DataFrame:
+def averages_of(tokens: DataFrame) -> DataFrame:
     """(n, avgdl), one row: all documents count, also those without a word."""
-    lengths = posted.select("doc", "length").distinct().agg(F.sum("length").alias("words"))
-    return docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(lengths)).select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl"))  # one row each
+    return tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str = "chunk_id", text: str = "text", order: str = "ord") -> DataFrame:
@@ -83,7 +123,6 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = KEYWORD_K, key: str
     ``order`` numbers the documents 1, 2, ... without gaps. An empty corpus or query table gives no rows; a query without
     words gets the first k documents.
     """
-    docs = docs.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("text"), F.col(order).alias("ord"))
-    posted = materialize(postings(docs, key, "text"), "postings")
-    averages = averages_of(posted, docs)
-    return search(posted, term_weights(posted, averages.select("n")), averages.select("avgdl"), docs.select(key, "ord"), queries, k, key)
+    tokens = materialize(tokens_of(docs.where(F.col(text).isNotNull()), key, text, order), "tokens")
+    averages = materialize(averages_of(tokens), "averages")
+    return search(tokens, term_weights(tokens, averages.select("n")), averages, tokens.select(key, "ord"), queries, k, key)

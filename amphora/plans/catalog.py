@@ -179,7 +179,7 @@ def _same_as(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyword_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     x = _index(spark, d)
-    return keyword.search(x.postings, x.weights, x.averages.select("avgdl"), x.docs, _ask(spark, d), k).join(x.docs.select("chunk_id", "title"), "chunk_id")
+    return keyword.search(x.tokens, x.weights, x.averages, x.docs, _ask(spark, d), k).join(x.docs.select("chunk_id", "title"), "chunk_id")
 
 
 def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:

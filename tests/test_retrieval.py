@@ -267,3 +267,37 @@ def test_keyword_search_has_no_nested_loop(spark):
     for r in out.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert got[1][0] == "9:0" and got[1][1:] == ["0:0", "1:0"] and got[2] == ["0:0", "1:0", "2:0"]
+
+
+def test_questions_with_a_common_word_are_no_rows_a_document(spark):
+    n, asked = 3_000, 40
+    docs = spark.range(n).select(F.concat("id", F.lit(":0")).alias("chunk_id"), F.concat(F.lit("of the road of w"), F.pmod("id", F.lit(97)), F.lit(" w"), F.col("id") % 61).alias("text"), (F.col("id") + 1).alias("ord"))
+    queries = spark.range(asked).select(F.col("id").alias("query_id"), F.concat(F.lit("of w"), "id").alias("query"))
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = {s.stageId() for s in _stages(tracker)}
+    got = {}
+    for r in keyword.bm25_topk(docs, queries, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score)
+    moved = [s.shuffleWriteRecords() + s.outputRecords() for s in _stages(tracker) if s.stageId() not in before]
+    assert max(moved) < 2 * n  # 40 questions share "of" with 3,000 documents
+    words = [f"of the road of w{i % 97} w{i % 61}".split() for i in range(n)]
+    df = {w: sum(w in set(x) for x in words) for w in {w for x in words for w in x}}
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    for q in range(asked):
+        part = lambda t, x: (raw[t] if raw[t] >= 0 else floor) * x.count(t) * 2.5 / (x.count(t) + 1.5)  # noqa: E731, all lengths are the average
+        want = sorted((-round(sum(part(t, x) for t in ("of", f"w{q}") if t in df), 9), i) for i, x in enumerate(words))[:5]
+        assert [got[q][k][0] for k in range(1, 6)] == [f"{i}:0" for _, i in want]
+        assert all(abs(got[q][k][1] + s) < 1e-6 for k, (s, _) in enumerate(want, 1))
+
+
+def _stages(tracker):
+    found = tracker.stageList(None, False, False, spark_doubles(), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def spark_doubles():
+    from pyspark import SparkContext
+
+    gateway = SparkContext._active_spark_context._gateway
+    return gateway.new_array(gateway.jvm.double, 0)
