@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amphora.functions.vectors import cosine
+from amphora.operators.topk import Best
 from amphora.schema import NORM_EPSILON, THETA, TOP_PASSAGES
 from amphora.session import spread
 
@@ -19,23 +20,24 @@ def usable(vector: str, dim: int) -> F.Column:
     return (F.size(v) == dim) & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
 
 
-def _matrix(values: list) -> np.ndarray:
+def _matrix(values: list | np.ndarray) -> np.ndarray:
     x = np.array(values, np.float64)
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + NORM_EPSILON)
 
 
-def _local_topk(qids: np.ndarray, q: np.ndarray, k: int, step: int = 2_000):
+def _local_topk(qids: np.ndarray, q: np.ndarray, k: int, step: int = 200):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(qids), k + 1)  # the own hit is left out later
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1).to_pylist())
+            ids, flat = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
+            sorted_ = np.argsort(ids, kind="stable")
+            ids, x = ids[sorted_], _matrix(flat.reshape(b.num_rows, -1)[sorted_])
             for at in range(0, len(qids), step):
-                s = np.round(q[at : at + step] @ x.T, 9)
-                m = min(k + 1, s.shape[1])
-                edge = np.partition(s, s.shape[1] - m, axis=1)[:, [s.shape[1] - m]]
-                r, c = np.nonzero(s >= edge)  # all ties at the edge: the smaller id wins later
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[at + r]), "id": pa.array(ids[c]), "score": pa.array(s[r, c])})
+                for i, scores in enumerate(q[at : at + step] @ x.T, at):
+                    best.add(i, scores, ids)
+        yield from best.rows(("query_id", "id", "score"), pa.array(qids))
 
     return run
 
@@ -44,7 +46,7 @@ def vector_topk(table: DataFrame, queries: DataFrame, k: int, dim: int = 64, key
     """(query_id, id, score, rank): exact cosine top k; ties go to the smaller id. Unless ``own_hits``, a query is a row of the table and isn't its own hit.
 
     The stated queries (query_id, vector) meet all rows in one map over the table, as long as they are at most about ``block`` (10 MB), and in a map a block
-    beyond that; a task returns k rows a query and batch, and ties. Unusable vectors on either side are left out.
+    beyond that; a task returns k rows a query, and one more. Unusable vectors on either side are left out.
     """
     rows = spread(table.where(usable(vector, dim) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")))
     asked = queries.where(usable("vector", dim)).select("query_id", "vector")

@@ -301,3 +301,26 @@ def spark_doubles():
 
     gateway = SparkContext._active_spark_context._gateway
     return gateway.new_array(gateway.jvm.double, 0)
+
+
+def test_vector_topk_returns_few_rows_a_task(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, size=(4_000, 4)).astype(float)
+    x[np.all(x == 0, axis=1)] = 1.0
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, vector array<double>").coalesce(1)
+    q = t.where("vec_id % 400 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    hits = list(similarity._local_topk(np.arange(10), similarity._matrix(x[::400]), 5)(iter([b for at in range(0, 4_000, 500) for b in _batches(x, at)])))
+    assert sum(b.num_rows for b in hits) == 60  # 5 and one more for each of 10 questions, whatever ties
+    got = {(r.query_id, r["rank"]): r.id for r in similarity.vector_topk(t, q, 5, dim=4).collect()}
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+    for i in range(0, 4_000, 400):
+        s = np.round(u @ u[i], 9)
+        want = [j for j in np.lexsort((np.arange(4_000), -s)) if j != i][:5]
+        assert [got[i, k] for k in range(1, 6)] == want
+
+
+def _batches(x, at):
+    import pyarrow as pa
+
+    part = x[at : at + 500]
+    return [pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["id", "v"])]
