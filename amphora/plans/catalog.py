@@ -220,10 +220,11 @@ def _neighborhood(spark: SparkSession, d: str, g: _Graph) -> DataFrame:
 
 
 def _rerank_rows(spark: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
-    """Candidates (query_id, chunk_id, ord) with the vectors of both sides."""
+    """Candidates (query_id, chunk_id, ord) with the vectors of both sides; a question or chunk whose words cancel out has no direction and no rows."""
     asked = _asked_vectors(spark, d).withColumnRenamed("vector", "query_vector")
     rows = candidates.select("query_id", "chunk_id", "ord").join(_index(spark, d).vectors.select("chunk_id", "vector"), "chunk_id")
-    return rows.join(asked, "query_id").select("query_id", F.col("chunk_id").alias("id"), "ord", "query_vector", "vector")
+    rows = rows.join(asked, "query_id").where(similarity.usable("query_vector", _EMBEDDER.dim) & similarity.usable("vector", _EMBEDDER.dim))
+    return rows.select("query_id", F.col("chunk_id").alias("id"), "ord", "query_vector", "vector")
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:

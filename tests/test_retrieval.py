@@ -324,3 +324,13 @@ def _batches(x, at):
 
     part = x[at : at + 500]
     return [pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["id", "v"])]
+
+
+def test_rerank_of_a_question_whose_words_cancel_out(spark, compare, tmp_path):
+    from amphora.plans.catalog import QUERIES, SQL
+
+    chunks = [("100:0", 100, 0, "Lex Medazebonia", "Lex Medazebonia was a law."), ("200:0", 200, 0, "Road tolls", "Road tolls were paid in coin."), ("300:0", 300, 0, "Lex", "Lex Medazebonia")]
+    spark.createDataFrame(chunks, "chunk_id string, pageid bigint, chunk_index int, title string, text string").coalesce(1).toPandas().to_parquet(tmp_path / "chunks.parquet")
+    spark.createDataFrame([(c[1], c[3]) for c in chunks], "pageid bigint, title string").toPandas().to_parquet(tmp_path / "corpus.parquet")
+    got, want = compare(spark, QUERIES["rerank"], SQL["rerank"], tmp_path)
+    assert got == want and {r[1] for r in got} == {"200", "300"}  # the two words of question 100 have one place and opposite signs
