@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ from amphora.session import blank, materialize, spread
 
 _SMALL = {"of", "and", "the", "de", "von", "van", "la"}  # words that spellings drop at will
 _LONG = 24  # letters beyond which a token is looked up by pieces
+_FEW = 64  # tokens up to which a shard needs no trie
 
 
 class TokenTrie:
@@ -100,6 +102,26 @@ def bound_of(token: str) -> int:
     return 0 if len(token) < 4 else 1 if len(token) < 6 else 2
 
 
+@lru_cache(100_000)
+def letters(token: str) -> int:
+    """The set of letters of a token as bits; two letters may share one."""
+    out = 0
+    for c in token:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+class FewTokens:
+    """A handful of tokens, compared one by one: an edit changes at most two letters of the set, which leaves few for the distance."""
+
+    def __init__(self, tokens) -> None:
+        self.held = [(t, len(t), letters(t)) for t in tokens]
+
+    def neighbours(self, query: str, k: int, swaps: bool = True) -> list[str]:
+        n, own = len(query), letters(query)
+        return [t for t, m, of in self.held if -k <= m - n <= k and (of ^ own).bit_count() <= 2 * k and distance(query, t, k) <= k]
+
+
 def token_cost(a: str, b: str) -> tuple[float, bool] | None:
     """(cost, whether the tokens are spelt alike) of taking two tokens for one word; None if they can't be."""
     if a == b:
@@ -112,10 +134,11 @@ def token_cost(a: str, b: str) -> tuple[float, bool] | None:
         return 0.5, False
     if len(a) <= 6 and len(b) - len(a) >= 2 and (_letters_of(a, b) or (len(a) > 2 and a[:3] in b) or (a[:2] == b[:2] and len(a) <= 4)):
         return 0.8, False  # abbreviated or familiar
-    d = distance(a, b, 2)
-    if d <= bound_of(a):
-        return float(d), True
-    return None
+    k = bound_of(a)
+    if not k or len(b) - len(a) > k or (letters(a) ^ letters(b)).bit_count() > 2 * k:
+        return None
+    d = distance(a, b, k)
+    return (float(d), True) if d <= k else None
 
 
 def _letters_of(short: str, word: str) -> bool:
@@ -227,7 +250,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, (_, _w, _p, keys) in enumerate(indexed):
             for t in keys or ():
                 by_token.setdefault(t, []).append(n)
-        trie = TokenTrie(by_token)
+        trie = FewTokens(by_token) if len(by_token) <= _FEW else TokenTrie(by_token)
         near: dict[str, list[str]] = {}
         done: set[tuple[int, int]] = set()
         for i, w, p, keys in probes:

@@ -213,3 +213,27 @@ def test_cheapest_pairing_against_brute_force():
         want = min((sum(c for c, _ in e) for e in every if None not in e), default=None)
         got = nv.cheapest_pairing(costs)
         assert (got and got[0]) == want if want is None else got[0] == pytest.approx(want)
+
+
+def test_few_tokens_are_compared_without_a_trie(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    tokens = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(60)})
+    trie, few = nv.TokenTrie(tokens), nv.FewTokens(tokens)
+    for q in tokens + ["abba", "dcbadcba", "ñandú", "zzzzz"]:
+        assert sorted(few.neighbours(q, nv.bound_of(q))) == sorted(trie.neighbours(q, nv.bound_of(q), swaps=True))
+    for a in tokens:
+        for b in tokens:
+            s, d = min(a, b, key=len), nv.distance(a, b, 2)
+            cost = nv.token_cost(a, b)
+            assert cost is not None or d > nv.bound_of(s)  # no filter drops a pair within the bound
+            assert a == b or cost is None or not cost[1] or cost[0] == d <= nv.bound_of(s)
+
+    built = []
+    monkeypatch.setattr(nv, "TokenTrie", lambda t: built.append(t) or trie)
+    rows = [("s", i, f"{t} road", "rome", [t, "road"], True, True) for i, t in enumerate(("tiberius", "tiberuis", "claudius"))]
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_())
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list("abcdefg"))
+    found = [(x["a"], x["b"]) for b in nv._links(iter([batch])) for x in b.to_pylist()]
+    assert found == [(0, 1)] and not built
